@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality, simhash
+from . import quality, repeats, simhash
 from .common import table
 
 
@@ -16,9 +17,38 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.cut_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op4_repeats": op4_repeats,
     "op6_compression_bands": op6_compression_bands,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_repeats": r"""
+WITH docs AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS w
+    FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 12)) AS i FROM docs WHERE len(ws) >= 13)
+), firsts AS (
+    SELECT w, min(doc_id) AS first_doc FROM windows GROUP BY w
+), gone AS (
+    SELECT DISTINCT doc_id, i + k AS pos
+    FROM windows JOIN firsts USING (w), (SELECT unnest(generate_series(0, 12)) AS k)
+    WHERE first_doc < doc_id
+), words AS (
+    SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM docs
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS left_words, count(*) AS n
+    FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(left_words, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+""",
+}
