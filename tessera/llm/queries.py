@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, repeats, simhash
+from . import gif, packing, quality, repeats, simhash
 from .common import table
 
 
@@ -22,7 +22,24 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public tokenizer file; the vocabulary is read from there and never copied."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.digests(gif.store(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op7_pack": op7_pack,
+    "op9_gif": op9_gif,
     "op4_repeats": op4_repeats,
     "op6_compression_bands": op6_compression_bands,
     "op10_simhash": op10_simhash,
