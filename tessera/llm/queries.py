@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, packing, quality, repeats, simhash
+from . import gif, mixing, packing, quality, repeats, simhash
 from .common import table
 
 
@@ -33,12 +33,17 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.digests(gif.store(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
     "op7_pack": op7_pack,
+    "op8_mix": op8_mix,
     "op9_gif": op9_gif,
     "op4_repeats": op4_repeats,
     "op6_compression_bands": op6_compression_bands,
