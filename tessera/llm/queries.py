@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, mixing, packing, quality, repeats, simhash
+from . import extract, gif, mixing, packing, quality, repeats, simhash, toxicity, urls
 from .common import table
 
 
@@ -17,6 +17,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, settings = table(spark, sf_dir, "documents"), toxicity.Settings()
+    known = toxicity.sample(docs, table(spark, sf_dir, "labels"), settings)
+    model = toxicity.train([t for t, _, _ in known], [y for _, y, _ in known], [x for _, _, x in known], settings)
+    return toxicity.score(docs, model)
+
+
+def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(table(spark, sf_dir, "pages"))
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.cut_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -42,6 +57,9 @@ def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op3_extract": op3_extract,
+    "op5_urls": op5_urls,
     "op7_pack": op7_pack,
     "op8_mix": op8_mix,
     "op9_gif": op9_gif,
