@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import extract, gif, mixing, packing, quality, repeats, simhash, toxicity, urls
+from . import extract, gif, katz, mixing, packing, quality, repeats, simhash, toxicity, urls
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model)
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
@@ -58,6 +62,7 @@ def op9_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_katz": op2_katz,
     "op3_extract": op3_extract,
     "op5_urls": op5_urls,
     "op7_pack": op7_pack,
