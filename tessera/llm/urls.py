@@ -111,7 +111,12 @@ def rule_for(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
 def grams(host: Column, path: Column, r: Regression) -> Column:
     """Distinct hash buckets of the character n-grams of host and path, any digit as 0."""
     line = F.translate(F.concat(F.lit("/"), host, F.lit(" "), path, F.lit(" ")), "123456789", "000000000")
-    each = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(line) - (n - 1), F.lit(1))), lambda i, n=n: F.pmod(F.xxhash64(F.substring(line, i, F.lit(n))), F.lit(r.buckets)).cast("int")) for n in r.sizes]
+
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(line) - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.substring(line, i, F.lit(n))), F.lit(r.buckets)).cast("int"))
+
+    each = [of_size(n) for n in r.sizes]
     return F.array_distinct(F.concat(*each))
 
 
