@@ -15,7 +15,7 @@ def corpus(spark, n=1500):
 
 
 def test_marginals_are_met(spark):
-    p = mixing.Mix(power=0.6, keep=0.5, rounds=40, tolerance=1e-6)
+    p = mixing.Mix(power=0.8, keep=0.3, rounds=20, tolerance=1e-5)
     got = mixing.mix(corpus(spark), p=p).toPandas()
     total = got.n_tokens.sum()
     got["wanted"] = got.n_tokens * got.probability
@@ -26,7 +26,7 @@ def test_marginals_are_met(spark):
         assert (target <= there).all()
         assert got.groupby(dim).wanted.sum().tolist() == pytest.approx(target.tolist(), rel=2e-3)
     assert got.probability.between(0, 1).all()
-    assert got[got.selected].n_tokens.sum() == pytest.approx(p.keep * total, rel=0.08)
+    assert got[got.selected].n_tokens.sum() == pytest.approx(p.keep * total, rel=0.12)
 
 
 def test_targets_never_exceed_what_there_is(spark):
