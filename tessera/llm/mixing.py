@@ -54,9 +54,12 @@ def annotated(docs: DataFrame, text: str, p: Mix) -> DataFrame:
     at = columns.index(text)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words = [t.split() for t in texts_as_bytes(batch.column(at))]
-        topics, tokens = pa.array([topic_of(w, p) for w in words], pa.int32()), pa.array([len(w) for w in words], pa.int64())
-        return pa.RecordBatch.from_arrays([*batch.columns, topics, tokens], names=[*columns, "__topic", "__tokens"])
+        topics, tokens = [], []
+        for t in texts_as_bytes(batch.column(at)):
+            words = t.split()
+            topics.append(topic_of(words, p))
+            tokens.append(len(words))
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(topics, pa.int32()), pa.array(tokens, pa.int64())], names=[*columns, "__topic", "__tokens"])
 
     return map_arrow(docs, run, T.StructType([*docs.schema.fields, *T.StructType.fromDDL("__topic int, __tokens long").fields]))
 

@@ -107,7 +107,7 @@ def merged(x: np.ndarray, y: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.
 
 
 KEYED = "x long, y long, doc long, at long, more binary"
-SMALL = 1 << 21
+SMALL = 1 << 18
 
 
 def keyed(rows) -> pa.RecordBatch:

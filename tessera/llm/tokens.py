@@ -23,7 +23,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 LETTER = "A-Za-zÀ-ÖØ-öø-ſ"
 PLAIN = re.compile(f"[\t\n\r -~{LETTER}]*")
 PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s{LETTER}0-9]+|\s+(?!\S)|\s+")
-CACHE = 600_000
+CACHE = 200_000
 
 
 def byte_letters() -> dict[str, int]:
