@@ -51,3 +51,12 @@ def test_limits_are_monotone():
     b = quality.Bands()
     most = [b.of(2**k)[1] for k in range(5, 24)]
     assert most == sorted(most, reverse=True)
+
+
+def test_held_out_fold_is_told_apart(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("crc32(cast(cast(doc_id AS string) AS binary)) % 2 = 1")
+    got = quality.compression_bands(spark.read.parquet(f"{folder}/documents.parquet"), keep=["doc_id"]).where("NOT base_failed").join(labels, "doc_id").collect()
+    junk, good = ([r.kept for r in got if r.quality == q] for q in (0, 1))
+    assert len(junk) > 100 and sum(junk) < 0.3 * len(junk)
+    assert len(good) > 1000 and sum(good) > 0.995 * len(good)
