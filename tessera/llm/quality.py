@@ -3,7 +3,8 @@
 Text that zstandard shrinks far more than prose of its length is repetitive or templated; text that it
 hardly shrinks is noise (keys, encoded data). Short texts shrink less than long ones, so the limits
 depend on length: they are given at powers of two and interpolated in between. The whole document is
-judged first, then its fixed-size chunks, which finds a bad region inside a long good text.
+judged first, then its fixed-size chunks, which finds a bad region inside a long good text. The last chunk
+is the final ``chunk`` bytes, overlapping the one before, so that every byte of a text of a chunk or more is judged.
 
 Plan: one Arrow map over the documents, no shuffle; a task holds one batch.
 """
@@ -27,6 +28,7 @@ from .common import map_arrow, texts_as_bytes
 class Bands:
     """Limits on compressed size / size. ``limits``: (log2 of bytes, least, most), interpolated linearly.
 
+    More than ``most_bad`` bad chunks, or more than the share ``bad_chunks`` of them, reject a text.
     ``least`` lies 0.005 to 0.02 under the 0.1 % quantile, at that length, of the ratios of a training fold of
     documents labelled as good (crc32 of the id even, 64 to 16,384 bytes; beyond, carried on with a wider
     margin). ``most`` lies above the highest ratio of ordinary prose in several languages, with a margin.
@@ -36,7 +38,8 @@ class Bands:
     chunk: int = 4096
     chunk_least: float = 0.435
     chunk_most: float = 0.70
-    bad_chunks: float = 0.34
+    bad_chunks: float = 0.05
+    most_bad: int = 1
     limits: tuple[tuple[float, float, float], ...] = (
         (5, 0.80, 2.00),
         (6, 0.78, 1.80),
@@ -94,7 +97,7 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def judge(text: bytes, bands: Bands, zip_: zstandard.ZstdCompressor) -> tuple[float, int, int, str | None]:
-    """Whole-document ratio, whole chunks, bad chunks, and why the text is rejected (None: it is not).
+    """Whole-document ratio, chunks (the tail's included), bad chunks, and why the text is rejected (None: it is not).
 
     An empty text has ratio 1 and is not rejected here.
     """
@@ -102,12 +105,14 @@ def judge(text: bytes, bands: Bands, zip_: zstandard.ZstdCompressor) -> tuple[fl
         return 1.0, 0, 0, None
     ratio = len(zip_.compress(text)) / len(text)
     least, most = bands.of(len(text))
-    chunks = len(text) // bands.chunk
-    bad = 0
-    for i in range(chunks):
-        r = len(zip_.compress(text[i * bands.chunk : (i + 1) * bands.chunk])) / bands.chunk
+    starts = list(range(0, len(text) - bands.chunk + 1, bands.chunk))
+    if starts and len(text) % bands.chunk:
+        starts.append(len(text) - bands.chunk)
+    chunks, bad = len(starts), 0
+    for i in starts:
+        r = len(zip_.compress(text[i : i + bands.chunk])) / bands.chunk
         bad += not bands.chunk_least <= r <= bands.chunk_most
-    why = "repetitive" if ratio < least else "incompressible" if ratio > most else "chunks" if bad > bands.bad_chunks * chunks else None
+    why = "repetitive" if ratio < least else "incompressible" if ratio > most else "chunks" if bad > min(bands.most_bad, bands.bad_chunks * chunks) else None
     return ratio, chunks, bad, why
 
 

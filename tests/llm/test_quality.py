@@ -1,7 +1,10 @@
+import base64
 import random
 import string
 from collections import Counter
 
+import zstandard
+
 from tessera.llm import quality
 
 from .helpers import AWKWARD, docs, words
@@ -60,3 +63,14 @@ def test_held_out_fold_is_told_apart(spark):
     junk, good = ([r.kept for r in got if r.quality == q] for q in (0, 1))
     assert len(junk) > 100 and sum(junk) < 0.3 * len(junk)
     assert len(good) > 1000 and sum(good) > 0.995 * len(good)
+
+
+def test_bad_regions_of_long_texts(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("quality = 1"), "doc_id").where("lang = 'en'").orderBy("doc_id").limit(60).collect()
+    prose = "\n".join(r.text for r in rows).encode().decode("ascii", "ignore")
+    noise = base64.b64encode(random.Random(3).randbytes(60_000)).decode()
+    good = max((r.text for r in rows), key=len)
+    assert len(good) > 4096 and len(prose) > 40_000
+    texts = [prose[:4096] + noise[:4095], prose[:40_000] + noise[:20_000], prose[:40_000] + noise[:8192], good]
+    zip_ = zstandard.ZstdCompressor(level=quality.Bands().level)
+    assert [quality.judge(t.encode(), quality.Bands(), zip_)[3] for t in texts] == ["chunks"] * 3 + [None]
