@@ -2,10 +2,10 @@
 
 1. A lenient parse gives the text nodes of a page in order, each with its root-to-leaf tag path. Elements that
    never hold article text (scripts, forms, navigation, footers, and such by class or id) are left out.
-2. For each tag path: text length per node and punctuation per node. Each node carries its path's two ratios;
-   they are smoothed over neighbours in page order and fused by their product.
-3. Paths whose fused ratio reaches the page's threshold are content paths. The content root is the deepest element
-   that holds nearly all text on content paths. All blocks under it are the text: short paragraphs and
+2. For each tag path: root of the text length per node, and punctuation per character. Each node carries its path's
+   two ratios; they are smoothed over neighbours in page order and fused by their product.
+3. Paths whose fused ratio reaches half of the text-weighted median path's are content paths. The content root is the
+   deepest element that holds all text on content paths. All blocks under it are the text: short paragraphs and
    headings of an article stay, whatever their own ratio.
 
 Plan: one Arrow map over the pages, no shuffle.
@@ -44,6 +44,7 @@ AROUND = frozenset(
     "contentinfo complementary search banner".split()
 )
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؛؟]")
+SIGN_WEIGHT = 25.0
 HINT = re.compile(r"[a-z]+|\d+")
 
 
@@ -144,8 +145,8 @@ def smoothed(x: np.ndarray) -> np.ndarray:
     return full / np.convolve(np.pad(np.ones(len(x)), 2), kernel, "valid")
 
 
-def content_root(nodes: list[tuple[Node, int, str]], threshold: float = 0.2, share: float = 0.9) -> Node | None:
-    """The deepest element that holds ``share`` of the text on content paths; None if there is no text."""
+def content_root(nodes: list[tuple[Node, int, str]], threshold: float = 0.5) -> Node | None:
+    """The deepest element that holds all text on content paths; None if there is no text."""
     length = np.array([len("".join(t.split())) for _, _, t in nodes], float)
     if not length.sum():
         return None
@@ -156,11 +157,13 @@ def content_root(nodes: list[tuple[Node, int, str]], threshold: float = 0.2, sha
             paths[n.path].append(i)
     text_ratio, sign_ratio = np.zeros(len(nodes)), np.zeros(len(nodes))
     for where in paths.values():
-        text_ratio[where] = length[where].mean()
-        sign_ratio[where] = signs[where].mean()
-    fused = smoothed(text_ratio) * (1 + smoothed(sign_ratio))
+        text_ratio[where] = np.sqrt(length[where].mean())
+        sign_ratio[where] = signs[where].sum() / length[where].sum()
+    fused = smoothed(text_ratio) * (1 + SIGN_WEIGHT * smoothed(sign_ratio))
     by_path = {p: float(np.average(fused[w], weights=length[w])) for p, w in paths.items()}
-    least = threshold * max(by_path.values())
+    ranked = sorted((v, length[paths[p]].sum()) for p, v in by_path.items())
+    middle = np.searchsorted(np.cumsum([w for _, w in ranked]), length.sum() / 2)
+    least = threshold * ranked[min(middle, len(ranked) - 1)][0]
     chosen = [i for p, w in by_path.items() if w >= least for i in paths[p]]
     total = 0.0
     touched: list[Node] = []
@@ -172,7 +175,7 @@ def content_root(nodes: list[tuple[Node, int, str]], threshold: float = 0.2, sha
                 touched.append(n)
             n.weight += length[i]
             n = n.parent
-    best = max((n for n in touched if n.weight >= share * total and n.name in BLOCK | {""}), key=lambda n: n.depth)
+    best = max((n for n in touched if n.weight >= total and n.name in BLOCK | {""}), key=lambda n: n.depth)
     while best.parent and best.name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "td", "tr", "tbody", "dl", "dd", "dt", "header", "figure"):
         best = best.parent
     n = best

@@ -46,3 +46,16 @@ def test_awkward_rows(spark):
     got = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted(r.n_chars for r in got) == [0, 1, 39_999, 39_999]
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(("lead", "body", "n"), [(1500, 200, 60), (3000, 300, 60), (6000, 80, 100)])
+def test_long_lead_does_not_hide_the_body(lead, body, n):
+    first, rest = ("word, " * lead)[: lead - 1] + ".", [f"paragraph {i}, " + "w" * (body - 20) + "." for i in range(n)]
+    page = f"<body><div class=lead><p>{first}</p></div><div class=body>" + "".join(f"<p>{x}</p>" for x in rest) + "</div></body>"
+    assert extract.main_text(page) == "\n".join([first, *rest])
+
+
+def test_link_lists_outside_the_article_stay_out():
+    links = "".join(f"<li><a href=x>Link {i}</a>" for i in range(40))
+    page = f"<body><div class=l><ul>{links}</ul></div><div class=r>" + "<p>A sentence of the story, as told here, goes on for a while. And on.</p>" * 20 + "</div></body>"
+    assert "Link" not in extract.main_text(page)
