@@ -44,16 +44,21 @@ AROUND = frozenset(
     "contentinfo complementary search banner".split()
 )
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؛؟]")
+# First parts of names that tell of a layout with or without such a part, and of an article's own header.
+WITH = frozenset("no has with without not is".split())
+OF_ARTICLE = frozenset("post entry article story".split())
 SIGN_WEIGHT = 25.0
 HINT = re.compile(r"[a-z]+|\d+")
 
 
 class Node:
-    """An element: its name, parent, path key and whether it is left out."""
+    """An element: its name, parent, path key, whether it is left out, and the elements around it (itself included) whose names speak against them."""
 
-    __slots__ = ("name", "parent", "path", "depth", "out", "block", "weight")
+    __slots__ = ("name", "parent", "path", "depth", "out", "block", "weight", "around")
 
-    def __init__(self, name: str, parent: Node | None, mark: str, out: bool):
+    def __init__(self, name: str, parent: Node | None, mark: str, out: bool, around: bool = False):
+        above = parent.around if parent else ()
+        self.around = (self, *above) if around else above
         self.name, self.parent, self.out = name, parent, out or bool(parent and parent.out)
         self.path = f"{parent.path}/{name}{mark}" if parent else name
         self.depth = parent.depth + 1 if parent else 0
@@ -61,17 +66,23 @@ class Node:
         self.weight = 0.0
 
 
-def marks(attributes: str) -> tuple[str, bool]:
-    """A short mark of class for the path, and whether class, id, role or visibility say that this is not article."""
+def surrounds(name: str) -> bool:
+    """Whether a class, id or role marks what surrounds an article: by the whole name, or its first or last part."""
+    parts = HINT.findall(name.replace("_", "-"))
+    if not parts or parts[0] in WITH or parts[0] in OF_ARTICLE and parts[-1] == "header":
+        return False
+    return name in AROUND or parts[0] in AROUND or parts[-1] in AROUND
+
+
+def marks(attributes: str) -> tuple[str, bool, bool]:
+    """A short mark of class for the path, whether the element is hidden, and whether its names speak against it."""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return "", False
+        return "", False, False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     out = bool(re.search(r"(?:^|\s)hidden(?:\s|$)", ATTRIBUTE.sub(" ", attributes))) or found.get("aria-hidden") == "true"
     out = out or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")))
-    for key in ("class", "id", "role"):
-        for name in found.get(key, "").lower().split():
-            out = out or name in AROUND or bool(AROUND.intersection(HINT.findall(name.replace("_", "-"))))
-    return f".{found['class'].split()[0]}" if found.get("class", "").strip() else "", out
+    around = any(surrounds(name) for key in ("class", "id", "role") for name in found.get(key, "").lower().split())
+    return f".{found['class'].split()[0]}" if found.get("class", "").strip() else "", out, around
 
 
 def text_nodes(page: str) -> list[tuple[Node, Node, str]]:
@@ -79,6 +90,7 @@ def text_nodes(page: str) -> list[tuple[Node, Node, str]]:
     root = Node("", None, "", False)
     stack, out, at, size = [root], [], 0, len(page)
     brk = [0]
+    holders: list[Node] = []
 
     def text(part: str) -> None:
         if part and not stack[-1].out:
@@ -125,9 +137,9 @@ def text_nodes(page: str) -> list[tuple[Node, Node, str]]:
             text("\n")
         if name in VOID:
             continue
-        mark, around = marks(m[3] or "")
+        mark, hidden, around = marks(m[3] or "")
         inside = any(x.name in ("article", "main") for x in stack)
-        node = Node(name, stack[-1], mark, name in LEFT_OUT or around and name not in ("html", "body", "article", "main") or name == "header" and not inside)
+        node = Node(name, stack[-1], mark, name in LEFT_OUT or hidden and name not in ("html", "body", "article", "main") or name == "header" and not inside, around and name not in ("html", "body", "article", "main"))
         if (m[3] or "").rstrip().endswith("/") and name not in BLOCK:
             continue
         if name in RAW:
@@ -135,7 +147,30 @@ def text_nodes(page: str) -> list[tuple[Node, Node, str]]:
             at = end.end() if end else size
             continue
         stack.append(node)
-    return out
+        if name in ("article", "main") and not node.out:
+            holders.append(node)
+    return without_surroundings(out, holders)
+
+
+def without_surroundings(nodes: list[tuple[Node, int, str]], holders: list[Node], most: float = 0.8) -> list[tuple[Node, int, str]]:
+    """The text nodes outside elements whose names speak against them.
+
+    Such an element counts as layout, and stays, if it holds an article or main while none stands outside
+    such elements, or if the page has neither and it holds the share ``most`` of the page's text.
+    """
+    layout: set[int] = set()
+    if holders:
+        kind = [h for h in holders if h.name == "article"] or holders
+        if all(h.around for h in kind):
+            layout.update(id(n) for n in kind[0].around)
+    else:
+        held: dict[int, int] = defaultdict(int)
+        for n, _, text in nodes:
+            for around in n.around:
+                held[id(around)] += len(text.strip())
+        total = sum(len(text.strip()) for _, _, text in nodes)
+        layout.update(k for k, size in held.items() if size >= most * total)
+    return [x for x in nodes if all(id(n) in layout for n in x[0].around)]
 
 
 def smoothed(x: np.ndarray) -> np.ndarray:

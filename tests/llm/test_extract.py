@@ -59,3 +59,20 @@ def test_link_lists_outside_the_article_stay_out():
     links = "".join(f"<li><a href=x>Link {i}</a>" for i in range(40))
     page = f"<body><div class=l><ul>{links}</ul></div><div class=r>" + "<p>A sentence of the story, as told here, goes on for a while. And on.</p>" * 20 + "</div></body>"
     assert "Link" not in extract.main_text(page)
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "has-sidebar", "content with-sidebar", "elementor-widget-theme-post-content", "layout-sidebar", "widget"])
+def test_layout_wrappers_are_not_left_out(name):
+    story = "<p>The story, as told. It goes on, and on.</p>" * 5
+    want = "\n".join(["The story, as told. It goes on, and on."] * 5)
+    side = "<div class=sidebar><p>Aside, briefly.</p></div>"
+    assert extract.main_text(f"<body><div class='{name}'><article>{story}</article></div>{side}</body>") == want
+    assert extract.main_text(f"<body><div class='{name}'><div>{story}</div></div>{side}</body>") == want
+
+
+def test_post_header_keeps_the_headline():
+    assert extract.main_text("<article><div class=post-header><h1>Head</h1></div><p>Text, as told.</p><div class=comments-area><article><p>I agree, so much.</p></article></div></article>") == "Head\nText, as told."
+
+
+def test_deep_nesting():
+    assert extract.main_text("<div class=widget>" + "<div>" * 3000 + "<p>Text, as told.") == "Text, as told."
