@@ -1,11 +1,11 @@
-"""Katz backoff language model over words, trained on the corpus and stored in partitioned tables.
+"""Katz backoff language model of word bigrams, trained on the corpus and stored in tables.
 
-P(w | h) is recursive: the Good-Turing discounted share of (h, w) if it was seen, else the backoff weight of h
+The order is fixed at two, so backoff is one step, from pair to word. P(w | h) is the Good-Turing discounted share of (h, w) if it was seen, else the backoff weight of h
 times P(w); P(w) is discounted likewise, and what it leaves is shared by as many unseen words as words were
 seen once. Backoff weights make every history's probabilities sum to one. A text is its words, A-Z
 lower-cased, and one end; the first word's history is a begin mark. Words are kept as 64-bit hashes.
 
-Tables, in the shared folder, partitioned by a hash of the history (bigrams, histories) or word (words):
+Tables, in the shared folder, plain Parquet without partitions or buckets (scoring shuffles them again):
   bigrams (h, w, c, c_w, lp), histories (h, c, bo), words (w, c, lp).
 
 Counting sums pairs in each batch before they are shuffled. Scoring joins a text's distinct pairs to the
