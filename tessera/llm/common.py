@@ -44,13 +44,11 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def write(self, df: DataFrame, sort_within: list[str] | None = None) -> DataFrame:
+    def write(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         """Write ``df`` as Parquet under this scratch folder; returns the table read back."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        if sort_within:
-            df = df.sortWithinPartitions(*sort_within)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*(partition_by or [])).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -1,29 +1,44 @@
-"""Katz backoff language model of word bigrams, trained on the corpus and stored in tables.
-
-The order is fixed at two, so backoff is one step, from pair to word. P(w | h) is the Good-Turing discounted share of (h, w) if it was seen, else the backoff weight of h
-times P(w); P(w) is discounted likewise, and what it leaves is shared by as many unseen words as words were
-seen once. Backoff weights make every history's probabilities sum to one. A text is its words, A-Z
-lower-cased, and one end; the first word's history is a begin mark. Words are kept as 64-bit hashes.
-
-Tables, in the shared folder, plain Parquet without partitions or buckets (scoring shuffles them again):
-  bigrams (h, w, c, c_w, lp), histories (h, c, bo), words (w, c, lp).
-
-Counting sums pairs in each batch before they are shuffled. Scoring joins a text's distinct pairs to the
-bigrams; only pairs that were not seen go on to the other two tables. Frequent words and pairs are split by
-adaptive execution, as all joins are plain equi-joins of one table row to many.
+"""Katz backoff language model of words, trained on the corpus and stored in partitioned tables.
+
+P(w | h) is the Good-Turing discounted share of (h, w) if it was seen, else the backoff weight of h times
+P(w | h without its first word); at the end of the recursion P(w) is discounted likewise, and what it leaves is
+shared by as many unseen words as words were seen once. Backoff weights make every history's probabilities sum
+to one. A text is its words, A-Z lower-cased, and one end; begin marks stand before the first word. The order
+(longest n-gram) is a parameter. Words and n-grams are kept as 64-bit hashes.
+
+Texts are read once and held as chunks of about ``chunk`` tokens: the chunk's distinct words and its tokens as
+places among them. All that follows are questions of chunks to shards and the answers:
+
+1. For each level n a chunk asks every shard (a range of hashes) for its distinct n-grams, and tells how often its
+   training texts hold them. A question is one row: sorted hashes and counts, as zstandard byte planes.
+2. A shard adds the counts up, keeps them as a row of the n-gram table, and answers each chunk with the counts in
+   the order of its question. Of the chunks that share an n-gram, one is told to own it.
+3. Owners add up, for each history, the discounted counts and lower probabilities of what follows it; shards
+   of histories keep those sums and answer with backoff weights.
+4. Chunks evaluate the recursion for each token and add up each text.
+
+What a shard holds of an n-gram is one entry for each chunk, however often texts have it, and hashes are even, so
+frequent words make no hot shard. Shards are as many as keep ``shard`` tokens to each; chunks and shards are bounded.
+
+Tables, in the shared folder as Parquet partitioned by ``part`` and ``level``, a row for each shard:
+  n-grams (level, shard, keys, c), histories (level, shard, keys, c, kept, p).
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import Scratch, crc32_mod, map_arrow, texts_as_bytes
 
@@ -31,51 +46,45 @@ from .common import Scratch, crc32_mod, map_arrow, texts_as_bytes
 END, BEGIN = 0, 1
 #: Counts above this are not discounted.
 MOST = 5
+M1, M2, M3 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9
 
 
-def coded(text: bytes) -> tuple[int, np.ndarray]:
-    """A key of the text and its tokens as signed hashes, the end last."""
-    words = text.lower().split()
-    out = np.zeros(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    return xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63), out.view(np.int64)
+@dataclass(frozen=True)
+class Settings:
+    """``order``: words of the longest n-gram. ``chunk``, ``shard``: tokens of one chunk, and for each shard."""
 
+    order: int = 2
+    chunk: int = 1 << 20
+    shard: int = 1 << 21
 
-def summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of the key columns and the sums of ``n``."""
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    first = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
-    return [k[first] for k in keys], np.add.reduceat(n[order], first)
 
+def squeeze(x: np.ndarray) -> bytes:
+    """A column of numbers as zstandard of its byte planes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
 
-def pairs(docs: DataFrame, by_text: bool) -> DataFrame:
-    """(h, w, n) summed over each batch, or (t, h, w, n) for each distinct text of a batch."""
 
-    def run(batch: pa.RecordBatch):
-        seen, part, size = set(), [], 0
+def expand(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
-        def flush():
-            columns = [np.concatenate(x) for x in zip(*part, strict=True)]
-            keys, n = summed(columns, np.ones(len(columns[0]), np.int64))
-            names = ["t", "h", "w"][-len(keys) :]
-            return pa.RecordBatch.from_arrays([*(pa.array(k) for k in keys), pa.array(n)], names=[*names, "n"])
-
-        for text in texts_as_bytes(batch.column(0)):
-            key, tokens = coded(text)
-            if by_text and key in seen:
-                continue
-            seen.add(key)
-            before = np.r_[np.int64(BEGIN), tokens[:-1]]
-            part.append(([np.full(len(tokens), key)] if by_text else []) + [before, tokens])
-            size += len(tokens)
-            if size >= 1 << 21:
-                yield flush()
-                part, size = [], 0
-        if part:
-            yield flush()
 
-    return map_arrow(docs, run, ("t long, " if by_text else "") + "h long, w long, n long")
+def squeeze_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences."""
+    return squeeze(np.diff(keys, prepend=np.uint64(0)))
+
+
+def expand_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(expand(data, np.uint64), dtype=np.uint64)
+
+
+def joined(history, word):
+    """The key of the n-gram of a history and one more word."""
+    with np.errstate(over="ignore"):
+        x = history * np.uint64(M1) + word * np.uint64(M2) + np.uint64(M3)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(M3)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(M1)
+        return x ^ (x >> np.uint64(32))
 
 
 @dataclass
@@ -92,87 +101,339 @@ class Discount:
             d = ((r + 1) * n(r + 1) / (r * n(r)) - beyond) / (1 - beyond) if n(r) and beyond < 1 else 1.0
             self.ratio[r] = d if 0 < d < 1 else 1.0
 
-    def of(self, c):
-        """The discounted count of a count column."""
-        out = F.col(c).cast("double")
-        for r, d in self.ratio.items():
-            out = F.when(F.col(c) == r, F.lit(r * d)).otherwise(out)
-        return out
+    def of(self, c: np.ndarray) -> np.ndarray:
+        """The discounted counts."""
+        ratios = np.array([1.0, *(self.ratio[r] for r in range(1, MOST + 1)), 1.0])
+        return c * ratios[np.minimum(c, MOST + 1)]
 
 
-def types_by_count(table: DataFrame) -> dict[int, int]:
-    return {r.c: r["count"] for r in table.where(F.col("c") <= MOST + 1).groupBy("c").count().collect()}
+@dataclass
+class Katz:
+    """The model: its tables, and by level its discounts; totals of the words."""
+
+    settings: Settings
+    bits: int
+    grams: DataFrame
+    discounts: list[Discount]
+    tokens: int
+    vocabulary: int
+    total: float
+    unseen: float
+    histories: list[DataFrame] = field(default_factory=list)
+
+    def numbers(self) -> Numbers:
+        return Numbers(self.discounts, self.tokens, self.vocabulary, self.total, self.unseen)
 
 
 @dataclass
-class Katz:
-    """The model's tables and totals."""
+class Numbers:
+    """What a task needs of the model besides answers."""
 
-    bigrams: DataFrame
-    histories: DataFrame
-    words: DataFrame
+    discounts: list[Discount]
     tokens: int
     vocabulary: int
+    total: float
     unseen: float
 
 
-def train(docs: DataFrame, text: str = "text") -> Katz:
-    """Count and discount ``docs``. An empty table gives a model that knows no word."""
+# Chunks
+
+
+def chunked(docs: DataFrame, p: Settings) -> DataFrame:
+    """Chunks of ``docs`` (id, held, text): chunk, ids, held, sizes (tokens of each text), words (hashes), at (token's word)."""
+
+    def run(batches):
+        # a written chunk comes from one attempt of one task, so its number is good once the table is written
+        chunk, ids, held, texts, size = TaskContext.get().partitionId() << 33, [], [], [], 0
+
+        def flush():
+            tokens = np.concatenate(texts)
+            words, at = np.unique(tokens, return_inverse=True)
+            sizes = np.array([len(t) for t in texts], np.int64)
+            columns = [pa.array([chunk]), pa.array([ids], pa.list_(kind)), pa.array([held], pa.list_(pa.bool_())), *(pa.array([x], pa.binary()) for x in (squeeze(sizes), squeeze_keys(words), squeeze(at.astype(np.uint32))))]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "held", "sizes", "words", "at"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for i, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_as_bytes(batch.column(2)), strict=True):
+                words = text.lower().split()
+                tokens = np.zeros(len(words) + 1, np.uint64)
+                tokens[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+                ids.append(i)
+                held.append(h)
+                texts.append(tokens)
+                size += len(tokens)
+                if size >= p.chunk:
+                    yield flush()
+                    chunk, ids, held, texts, size = chunk + 1, [], [], [], 0
+        if texts:
+            yield flush()
+
+    kind_of_id = docs.schema[0].dataType.simpleString()
+    return docs.mapInArrow(run, f"chunk long, ids array<{kind_of_id}>, held array<boolean>, sizes binary, words binary, at binary")
+
+
+class Chunk:
+    """The tokens of a chunk with the n-grams that end at each."""
+
+    def __init__(self, row: dict, order: int):
+        self.row = row
+        self.sizes = expand(row["sizes"], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        words, at = expand_keys(row["words"]), expand(row["at"], np.uint32).astype(np.int64)
+        tokens = words[at]
+        #: by level: distinct keys, each token's place among them; and the same of histories
+        self.keys, self.place = [None, words], [None, at]
+        self.history_keys, self.history_place = [None, None], [None, None]
+        keys, marks = tokens, np.array([BEGIN], np.uint64)
+        for _ in range(2, order + 1):
+            history = np.r_[marks, keys[:-1]]
+            history[self.first] = marks[0]
+            keys = joined(history, tokens)
+            for x, distinct, place in ((keys, self.keys, self.place), (history, self.history_keys, self.history_place)):
+                d, i = np.unique(x, return_inverse=True)
+                distinct.append(d)
+                place.append(i)
+            marks = joined(marks, np.array([BEGIN], np.uint64))
+        self.counts: dict[int, np.ndarray] = {}
+        self.own: dict[int, np.ndarray] = {}
+        self.whole: dict[int, np.ndarray] = {}
+        self.backoff: dict[int, np.ndarray] = {}
+        for a in sorted(row.get("answers") or [], key=lambda a: a["shard"]):
+            n = a["level"]
+            if n > 0:
+                c = expand(a["x"], np.int64)
+                self.put(self.counts, n, c)
+                self.put(self.own, n, np.unpackbits(np.frombuffer(a["y"], np.uint8), count=len(c)).astype(bool))
+            else:
+                self.put(self.whole, -n, expand(a["x"], np.float64))
+                self.put(self.backoff, -n, expand(a["y"], np.float64))
+        for of in (self.counts, self.own, self.whole, self.backoff):
+            for n in of:
+                of[n] = np.concatenate(of[n])
+
+    @staticmethod
+    def put(of: dict, n: int, x: np.ndarray) -> None:
+        of.setdefault(n, []).append(x)
+
+    def log_p(self, n: int, at: np.ndarray, m: Numbers) -> np.ndarray:
+        """log10 P of the tokens at these places, given the n - 1 words before each."""
+        c = self.counts[n][self.place[n][at]]
+        seen = c > 0
+        with np.errstate(divide="ignore"):
+            kept = np.log10(m.discounts[n].of(c))
+        if n == 1:
+            return np.where(seen, kept - math.log10(m.total), m.unseen)
+        h = self.history_place[n][at]
+        return np.where(seen, kept - self.whole[n][h], self.backoff[n][h] + self.log_p(n - 1, at, m))
+
+
+def each_chunk(chunks: DataFrame, order: int, f, schema) -> DataFrame:
+    """``f`` of each Chunk: a list of rows of ``schema``, as dictionaries."""
+
+    def run(batch: pa.RecordBatch):
+        for i in range(batch.num_rows):
+            rows = f(Chunk(batch.slice(i, 1).to_pylist()[0], order))
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, kind)
+
+    kind = to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+    return map_arrow(chunks, run, schema)
+
+
+def by_shard(keys: np.ndarray, bits: int) -> list[tuple[int, slice]]:
+    """The parts of sorted keys that belong to each shard."""
+    shard = ((keys >> np.uint64(1)) >> np.uint64(63 - bits)).astype(np.int64)
+    edge = np.flatnonzero(np.diff(shard, prepend=-1, append=1 << 62))
+    return [(int(shard[a]), slice(a, b)) for a, b in pairwise(edge.tolist())]
+
+
+# Questions and answers
+
+QUESTION = "level int, shard int, chunk long, keys binary, x binary, y binary, z binary"
+ANSWER = "part string, level int, shard int, chunk long, keys binary, x binary, y binary, z binary, types array<long>"
+ANSWER_ARROW = pa.schema([("part", pa.string()), ("level", pa.int32()), ("shard", pa.int32()), ("chunk", pa.int64()), *((k, pa.binary()) for k in ("keys", "x", "y", "z")), ("types", pa.list_(pa.int64()))])
+
+
+def merged(table: pa.Table, kinds: list) -> tuple[list, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """A shard's questions added up: lengths, each entry's key number, distinct keys, sums, and which entries come first."""
+    keys = [expand_keys(k) for k in table["keys"].to_pylist()]
+    sizes = [len(k) for k in keys]
+    distinct, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    sums = []
+    for name, kind in zip("xyz", kinds, strict=False):
+        x = np.concatenate([expand(v, kind) for v in table[name].to_pylist()])
+        total = np.zeros(len(distinct), kind)
+        np.add.at(total, place, x)
+        sums.append(total)
+    owns = np.zeros(len(place), bool)
+    owns[first] = True
+    return sizes, place, distinct, sums, owns
+
+
+def answered(table: pa.Table, level: int, shard: int, sizes: list, rows: list[dict], x, y) -> pa.Table:
+    """The rows of a shard: those of its table, and an answer to each chunk that asked."""
+    at = 0
+    for chunk, n in zip(table["chunk"].to_pylist(), sizes, strict=True):
+        if chunk >= 0:
+            part = slice(at, at + n)
+            rows.append({"part": "answers", "level": level, "shard": shard, "chunk": chunk, "x": x(part), "y": y(part)})
+        at += n
+    return pa.Table.from_pylist(rows, ANSWER_ARROW)
+
+
+def count_shard(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    level, shard = (k.as_py() for k in key)
+    sizes, place, distinct, (c,), owns = merged(table, [np.int64])
+    seen = c > 0
+    types = np.bincount(np.minimum(c[seen], MOST + 2), minlength=MOST + 3)[1 : MOST + 2].tolist()
+    row = {"part": "table", "level": level, "shard": shard, "chunk": -1, "keys": squeeze_keys(distinct[seen]), "x": squeeze(c[seen]), "types": [*types, int(c.sum()), int(seen.sum())]}
+    return answered(table, level, shard, sizes, [row], lambda s: squeeze(c[place[s]]), lambda s: np.packbits(owns[s]).tobytes())
+
+
+def history_shard(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    level, shard = (k.as_py() for k in key)
+    sizes, place, distinct, (c, kept, p), _ = merged(table, [np.int64, np.float64, np.float64])
+    seen = c > 0
+    whole = np.where(seen, np.where(kept < c * (1 - 1e-12), c, c + 1.0), 1.0)
+    backoff = np.where(seen, np.log10((1 - kept / whole) / (1 - p), where=seen, out=np.zeros(len(c))), 0.0)
+    whole = np.log10(whole)
+    row = {"part": "table", "level": level, "shard": shard, "chunk": -1, "keys": squeeze_keys(distinct[seen]), "x": squeeze(c[seen]), "y": squeeze(kept[seen]), "z": squeeze(p[seen])}
+    return answered(table, level, shard, sizes, [row], lambda s: squeeze(whole[place[s]]), lambda s: squeeze(backoff[place[s]]))
+
+
+def ask(questions: DataFrame, f, scratch: Scratch) -> DataFrame:
+    """The shards' tables and answers to the questions, written partitioned by part and level."""
+    groups: GroupedData = questions.groupBy("level", "shard")
+    return scratch.write(groups.applyInArrow(f, ANSWER), partition_by=["part", "level"])
+
+
+def known(rows: DataFrame) -> DataFrame:
+    """The table rows among a result of ask(), as questions of no chunk."""
+    return rows.where("part = 'table'").select(*(c.split()[0] for c in QUESTION.split(", ")))
+
+
+def informed(chunks: DataFrame, answers: list[DataFrame]) -> DataFrame:
+    """Chunks with the answers they got."""
+    rows = None
+    for a in answers:
+        part = a.where("part = 'answers'").select("chunk", F.struct("level", "shard", "x", "y").alias("a"))
+        rows = part if rows is None else rows.union(part)
+    of = rows.groupBy(F.col("chunk").alias("of")).agg(F.collect_list("a").alias("answers"))
+    return chunks.join(of, F.col("chunk") == F.col("of"), "left").drop("of")
+
+
+def count_questions(chunks: DataFrame, order: int, bits: int) -> DataFrame:
+    def f(chunk: Chunk) -> list[dict]:
+        rows = []
+        train = np.repeat(~np.array(chunk.row["held"], bool), chunk.sizes)
+        for n in range(1, order + 1):
+            keys = chunk.keys[n]
+            c = np.bincount(chunk.place[n][train], minlength=len(keys)).astype(np.int64)
+            rows += [{"level": n, "shard": s, "chunk": chunk.row["chunk"], "keys": squeeze_keys(keys[i]), "x": squeeze(c[i])} for s, i in by_shard(keys, bits)]
+        return rows
+
+    return each_chunk(chunks, order, f, QUESTION)
+
+
+def history_questions(chunks: DataFrame, n: int, order: int, bits: int, m: Numbers) -> DataFrame:
+    """Sums over what follows each history of level ``n``; answers come under the level ``-n``."""
+
+    def f(chunk: Chunk) -> list[dict]:
+        _, first = np.unique(chunk.place[n], return_index=True)
+        use = first[chunk.own[n] & (chunk.counts[n] > 0)]
+        keys, at = chunk.history_keys[n], chunk.history_place[n][use]
+        c = chunk.counts[n][chunk.place[n][use]]
+        sums = [np.zeros(len(keys), np.int64), np.zeros(len(keys)), np.zeros(len(keys))]
+        for total, x in zip(sums, (c, m.discounts[n].of(c), 10.0 ** chunk.log_p(n - 1, use, m)), strict=True):
+            np.add.at(total, at, x)
+        return [{"level": -n, "shard": s, "chunk": chunk.row["chunk"], "keys": squeeze_keys(keys[i])} | {k: squeeze(t[i]) for k, t in zip("xyz", sums, strict=True)} for s, i in by_shard(keys, bits)]
+
+    return each_chunk(chunks, order, f, QUESTION)
+
+
+def fitted(counts: DataFrame, p: Settings, bits: int) -> Katz:
+    """Discounts and totals of the counted n-grams; one row for each level comes to the driver."""
+    sums = known_types(counts)
+    discounts = [Discount({})] + [Discount({r: sums[n][r - 1] for r in range(1, MOST + 2)}) if n in sums else Discount({}) for n in range(1, p.order + 1)]
+    *types, tokens, vocabulary = sums.get(1, [0] * (MOST + 3))
+    beyond = tokens - sum(r * k for r, k in enumerate(types[:MOST], 1))
+    held = beyond + sum(r * k * discounts[1].ratio[r] for r, k in enumerate(types[:MOST], 1))
+    total = float(tokens if held < tokens * (1 - 1e-12) else tokens + 1)
+    unseen = math.log10((1 - held / total if tokens else 1.0) / max(types[0], 1))
+    return Katz(p, bits, known(counts), discounts, tokens, vocabulary, total, unseen)
+
+
+def known_types(counts: DataFrame) -> dict[int, list[int]]:
+    at = [F.sum(F.col("types")[i]).alias(f"t{i}") for i in range(MOST + 3)]
+    return {r[0]: list(r[1:]) for r in counts.where("part = 'table'").groupBy("level").agg(*at).collect()}
+
+
+def apply(docs: DataFrame, p: Settings | None = None, model: Katz | None = None) -> tuple[DataFrame, Katz]:
+    """Scores of ``docs`` (doc_id, held_out, text) and the model.
+
+    Without ``model``, one is trained on the rows that are not held out; with it, nothing is learnt.
+    The scores: doc_id, held_out, n_tokens, n_known, base_score, score.
+    """
+    p = model.settings if model else p or Settings()
     scratch = Scratch(docs.sparkSession, "katz")
-    counts = scratch.write(pairs(docs.select(F.col(text).alias("text")), by_text=False).groupBy("h", "w").agg(F.sum("n").alias("c")))
-    words = scratch.write(counts.groupBy("w").agg(F.sum("c").alias("c")))
-    tokens, vocabulary = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    once = types_by_count(words)
-    low, high = Discount(once), Discount(types_by_count(counts))
-    held = words.agg(F.sum(low.of("c"))).first()[0] or 0.0
-    total = tokens if held < tokens * (1 - 1e-12) else tokens + 1
-    unseen = math.log10((1 - held / total if tokens else 1.0) / max(once.get(1, 0), 1))
-    words = scratch.write(words.select("w", "c", F.log10(low.of("c") / total).alias("lp")))
-    follow = counts.join(words.select("w", F.col("c").alias("c_w"), F.pow(F.lit(10.0), F.col("lp")).alias("p")), "w").select("h", "w", "c", "c_w", "p", high.of("c").alias("kept"))
-    follow = scratch.write(follow)
-    sums = follow.groupBy("h").agg(F.sum("c").alias("c"), F.sum("kept").alias("kept"), F.sum("p").alias("p"))
-    whole = F.when(F.col("kept") < F.col("c") * (1 - 1e-12), F.col("c").cast("double")).otherwise(F.col("c") + 1.0)
-    histories = sums.withColumn("whole", whole).select("h", "c", "whole", F.log10((1 - F.col("kept") / F.col("whole")) / (1 - F.col("p"))).alias("bo"))
-    histories = scratch.write(histories)
-    bigrams = follow.join(histories.select("h", "whole"), "h").select("h", "w", "c", "c_w", F.log10(F.col("kept") / F.col("whole")).alias("lp"))
-    return Katz(scratch.write(bigrams), histories, words, tokens, vocabulary, unseen)
-
-
-def score_texts(docs: DataFrame, model: Katz, text: str = "text") -> DataFrame:
-    """(t, n_tokens, n_known, base_score, score) for each distinct text key."""
-    rows = pairs(docs.select(F.col(text).alias("text")), by_text=True)
-    seen = model.bigrams.select(F.col("h").alias("h2"), F.col("w").alias("w2"), "c_w", F.col("lp").alias("lp2"))
-    scratch = Scratch(docs.sparkSession, "katz-score")
-    first = rows.join(seen, (F.col("h") == F.col("h2")) & (F.col("w") == F.col("w2")), "left")
-    first = first.select("t", "n", F.when(F.col("w") == END, F.col("n")).otherwise(0).alias("ends"), "c_w", "lp2", F.when(F.col("lp2").isNull(), F.struct("h", "w")).alias("open"))
-    # one row for each text and pair that was not seen, one for all others of a text
-    first = first.groupBy("t", "open").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum(F.when(F.col("c_w").isNotNull(), F.col("n"))).alias("known"), F.sum(F.col("n") * F.log10(F.col("c_w") + 1)).alias("base"), F.sum(F.col("n") * F.col("lp2")).alias("score"))
-    first = scratch.write(first)
-    rest = first.where("open IS NOT NULL").select("t", "n", "ends", "open.h", "open.w")
-    rest = rest.join(model.words.select("w", F.col("c").alias("c_w"), "lp"), "w", "left").join(model.histories.select("h", "bo"), "h", "left")
-    rest = rest.select("t", "n", "ends", F.when(F.col("c_w").isNotNull(), F.col("n")).alias("known"), (F.col("n") * F.log10(F.coalesce("c_w", F.lit(0)) + 1)).alias("base"), (F.col("n") * (F.coalesce("bo", F.lit(0.0)) + F.coalesce("lp", F.lit(model.unseen)))).alias("score"))
-    each = first.where("open IS NULL").drop("open").unionByName(rest)
-    # a text that several batches hold is counted once for each: its ends say how often
-    sums = each.groupBy("t").agg(*(F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("n", "ends", "known", "base", "score")))
-    n = (F.col("n") / F.col("ends")).cast("long")
-    base = F.col("base") / F.col("ends") - n * math.log10(model.tokens + model.vocabulary + 1)
-    return sums.select("t", n.alias("n_tokens"), (F.col("known") / F.col("ends")).cast("long").alias("n_known"), base.alias("base_score"), (F.col("score") / F.col("ends")).alias("score"))
-
-
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold: int = 7, held: int = 2) -> DataFrame:
+    if model:
+        docs = docs.withColumn("held_out", F.lit(True))
+    chunks = scratch.write(chunked(docs.select("doc_id", "held_out", "text"), p))
+    bits = model.bits if model else shard_bits(chunks, p)
+    questions = count_questions(chunks, p.order, bits)
+    counts = ask(questions.unionByName(model.grams) if model else questions, count_shard, scratch)
+    trained = model or fitted(counts, p, bits)
+    numbers, answers = trained.numbers(), [counts]
+    for n in range(2, p.order + 1):
+        questions = history_questions(informed(chunks, answers), n, p.order, bits, numbers) if not model else history_keys(chunks, n, p.order, bits)
+        found = ask(questions.unionByName(model.histories[n - 2]) if model else questions, history_shard, scratch)
+        if not model:
+            trained.histories.append(known(found))
+        answers.append(found)
+    return scored(informed(chunks, answers), p.order, numbers, docs.schema["doc_id"]), trained
+
+
+def shard_bits(chunks: DataFrame, p: Settings) -> int:
+    """Shards are 2 ** bits: as many as keep ``shard`` tokens to each."""
+    n = chunks.count() * p.chunk
+    return max(0, math.ceil(math.log2(max(n, 1) / p.shard)))
+
+
+def history_keys(chunks: DataFrame, n: int, order: int, bits: int) -> DataFrame:
+    """Questions for histories that add nothing to their sums."""
+
+    def f(chunk: Chunk) -> list[dict]:
+        keys = chunk.history_keys[n]
+        none = lambda i: squeeze(np.zeros(len(keys[i]), np.int64))  # noqa: E731  a zero has the same bytes as a double
+        return [{"level": -n, "shard": s, "chunk": chunk.row["chunk"], "keys": squeeze_keys(keys[i]), "x": none(i), "y": none(i), "z": none(i)} for s, i in by_shard(keys, bits)]
+
+    return each_chunk(chunks, order, f, QUESTION)
+
+
+def scored(chunks: DataFrame, order: int, m: Numbers, id_field: T.StructField) -> DataFrame:
+    made = T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, base_score double, score double")
+
+    def f(chunk: Chunk) -> list[dict]:
+        c = chunk.counts[1][chunk.place[1]]
+        log_p = chunk.log_p(order, np.arange(len(c)), m)
+        base = np.log10(c + 1.0)
+        sums = [np.add.reduceat(x, chunk.first).tolist() for x in ((c > 0).astype(np.int64), base, log_p)]
+        less = math.log10(m.tokens + m.vocabulary + 1)
+        rows = zip(chunk.row["ids"], chunk.row["held"], chunk.sizes.tolist(), *sums, strict=True)
+        return [{"doc_id": i, "held_out": h, "n_tokens": n, "n_known": k, "base_score": b - n * less, "score": s} for i, h, n, k, b, s in rows]
+
+    return each_chunk(chunks, order, f, T.StructType([T.StructField("doc_id", id_field.dataType), *made.fields]))
+
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fold: int = 7, held: int = 2, p: Settings | None = None) -> DataFrame:
     """Train on the rows whose crc32(id) mod ``fold`` is not ``held`` and score all rows.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score, both
     log10. Null text: as empty, one end token. Repeated rows count as often as they stand and score alike.
-    No training rows: every token is unseen. Extra columns are dropped. Empty table: no rows. Texts are read whole.
+    No training rows: every token is unseen. Extra columns are dropped. Empty table: no rows. Texts are read
+    whole; a chunk holds at least one text, so a very long text makes a chunk of its own.
     """
     part = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("held_out", crc32_mod("doc_id", fold) == held)
-    model = train(part.where(~F.col("held_out")))
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [xxhash.xxh64_intdigest(b" ".join(t.lower().split())) - (1 << 63) for t in texts_as_bytes(batch.column(2))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], names=["doc_id", "held_out", "key"])
-
-    rows = map_arrow(part.select("doc_id", "held_out", "text"), run, T.StructType([part.schema["doc_id"], *T.StructType.fromDDL("held_out boolean, key long").fields]))
-    texts = score_texts(part, model)
-    return rows.join(texts, F.col("key") == F.col("t")).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    rows, model = apply(part, p)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

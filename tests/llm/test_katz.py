@@ -15,49 +15,52 @@ END, BEGIN = object(), object()
 class Plain:
     """The same model with dictionaries and a recursive probability."""
 
-    def __init__(self, texts):
-        self.uni, self.bi = Counter(), Counter()
+    def __init__(self, texts, order=2):
+        self.order = order
+        self.count = [None] + [Counter() for _ in range(order)]
         for t in texts:
-            w = [BEGIN, *words(ascii_lower(t or "")), END]
-            self.uni.update(w[1:])
-            self.bi.update(zip(w, w[1:], strict=False))
-        self.n, self.v = sum(self.uni.values()), len(self.uni)
-        self.low = katz.Discount(dict(Counter(c for c in self.uni.values() if c <= 6)))
-        self.high = katz.Discount(dict(Counter(c for c in self.bi.values() if c <= 6)))
-        once = sum(c == 1 for c in self.uni.values())
-        kept = sum(self.kept(self.low, c) for c in self.uni.values())
+            w = self.padded(t)
+            for n in range(1, order + 1):
+                self.count[n].update(tuple(w[i - n + 1 : i + 1]) for i in range(order - 1, len(w)))
+        uni = self.count[1]
+        self.n, self.v = sum(uni.values()), len(uni)
+        self.discount = [None] + [katz.Discount(dict(Counter(c for c in self.count[n].values() if c <= 6))) for n in range(1, order + 1)]
+        kept = sum(self.kept(1, c) for c in uni.values())
         self.total = self.n if kept < self.n * (1 - 1e-12) else self.n + 1
-        self.unseen_types = max(once, 1)
+        self.unseen_types = max(sum(c == 1 for c in uni.values()), 1)
         self.unseen = (1 - kept / self.total if self.n else 1.0) / self.unseen_types
         self.follow = defaultdict(dict)
-        for (h, w), c in self.bi.items():
-            self.follow[h][w] = c
+        for n in range(2, order + 1):
+            for gram, c in self.count[n].items():
+                self.follow[gram[:-1]][gram[-1]] = c
 
-    @staticmethod
-    def kept(d, c):
-        return c * d.ratio.get(c, 1.0)
+    def padded(self, t):
+        return [BEGIN] * (self.order - 1) + words(ascii_lower(t or "")) + [END]
 
-    def p1(self, w):
-        return self.kept(self.low, self.uni[w]) / self.total if w in self.uni else self.unseen
+    def kept(self, n, c):
+        return c * self.discount[n].ratio.get(c, 1.0)
 
     def p(self, h, w):
-        seen = self.follow.get(h)
+        if not h:
+            c = self.count[1][(w,)]
+            return self.kept(1, c) / self.total if c else self.unseen
+        seen, n = self.follow.get(h), len(h) + 1
         if not seen:
-            return self.p1(w)
+            return self.p(h[1:], w)
         c = sum(seen.values())
-        kept = sum(self.kept(self.high, x) for x in seen.values())
+        kept = sum(self.kept(n, x) for x in seen.values())
         whole = c if kept < c * (1 - 1e-12) else c + 1
         if w in seen:
-            return self.kept(self.high, seen[w]) / whole
-        return (1 - kept / whole) / (1 - sum(self.p1(x) for x in seen)) * self.p1(w)
+            return self.kept(n, seen[w]) / whole
+        return (1 - kept / whole) / (1 - sum(self.p(h[1:], x) for x in seen)) * self.p(h[1:], w)
 
     def score(self, t):
-        w = [BEGIN, *words(ascii_lower(t or "")), END]
-        return sum(math.log10(self.p(a, b)) for a, b in zip(w, w[1:], strict=False))
+        w, k = self.padded(t), self.order - 1
+        return sum(math.log10(self.p(tuple(w[i - k : i]), w[i])) for i in range(k, len(w)))
 
     def base(self, t):
-        w = [*words(ascii_lower(t or "")), END]
-        return sum(math.log10((self.uni[x] + 1) / (self.n + self.v + 1)) for x in w), len(w), sum(x in self.uni for x in w)
+        w = self.padded(t)[self.order - 1 :]
+        return sum(math.log10((self.count[1][(x,)] + 1) / (self.n + self.v + 1)) for x in w), len(w), sum((x,) in self.count[1] for x in w)
 
 
 def corpus(n=250):
@@ -66,9 +69,10 @@ def corpus(n=250):
     return [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(40)))) for i in range(n)]
 
 
-def check(spark, texts):
-    plain = Plain([t for i, t in texts if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2])
-    rows = katz.score(docs(spark, texts)).collect()
+def check(spark, texts, p=None):
+    p = p or katz.Settings()
+    plain = Plain([t for i, t in texts if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2], p.order)
+    rows = katz.score(docs(spark, texts), p=p).collect()
     assert len(rows) == len(texts)
     of = {i: t for i, t in texts}
     for r in rows:
@@ -80,10 +84,31 @@ def check(spark, texts):
     return plain
 
 
-def test_against_recursion_and_normalised(spark):
-    plain = check(spark, corpus())
-    for h in list(plain.follow)[:25] + ["never"]:
-        assert sum(plain.p(h, w) for w in plain.uni) + plain.unseen_types * plain.p(h, "unseen") == pytest.approx(1, abs=1e-9)
+@pytest.mark.parametrize("p", [katz.Settings(), katz.Settings(order=3), katz.Settings(order=3, chunk=100, shard=200), katz.Settings(order=1, chunk=50)])
+def test_against_recursion_and_normalised(spark, p):
+    plain = check(spark, corpus(120), p)
+    for h in [*list(plain.follow)[:15], *list(plain.follow)[-10:], ("never",)]:
+        assert sum(plain.p(h, w) for (w,) in plain.count[1]) + plain.unseen_types * plain.p(h, "unseen") == pytest.approx(1, abs=1e-9)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_stored_model_scores_other_texts(spark, order):
+    texts, others = corpus(80), [(1000 + i, t + " quite new words") for i, t in corpus(100)[80:]]
+    flagged = docs(spark, texts).selectExpr("doc_id", "doc_id % 3 = 0 AS held_out", "text")
+    _, model = katz.apply(flagged, katz.Settings(order=order, chunk=100, shard=150))
+    plain = Plain([t for i, t in texts if i % 3], order)
+    rows, _ = katz.apply(docs(spark, others).selectExpr("doc_id", "false AS held_out", "text"), model=model)
+    got = {r.doc_id: r for r in rows.collect()}
+    assert len(got) == len(others)
+    for i, t in others:
+        assert got[i].score == pytest.approx(plain.score(t), rel=1e-9) and got[i].base_score == pytest.approx(plain.base(t)[0], rel=1e-9)
+
+
+def test_tables_are_partitioned(spark):
+    _, model = katz.apply(docs(spark, corpus(60)).selectExpr("doc_id", "false AS held_out", "text"), katz.Settings(chunk=100, shard=100))
+    assert "level=2" in "".join(model.grams.where("level = 2").inputFiles())
+    assert model.grams.groupBy("level", "shard").count().where("count > 1").count() == 0
+    assert model.grams.where("level = 2").count() > 8
 
 
 def test_copies_over_many_batches(spark):
