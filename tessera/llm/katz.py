@@ -28,19 +28,17 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import Scratch, crc32_mod, map_arrow, texts_as_bytes
+from .shards import by_shard, expand, expand_keys, first_chunk, shard_bits, squeeze, squeeze_keys
 
 #: Hashes set aside for the end of a text and for its begin mark.
 END, BEGIN = 0, 1
@@ -58,26 +56,6 @@ class Settings:
     shard: int = 1 << 21
 
 
-def squeeze(x: np.ndarray) -> bytes:
-    """A column of numbers as zstandard of its byte planes."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
-
-
-def expand(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
-def squeeze_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys by their differences."""
-    return squeeze(np.diff(keys, prepend=np.uint64(0)))
-
-
-def expand_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(expand(data, np.uint64), dtype=np.uint64)
-
-
 def joined(history, word):
     """The key of the n-gram of a history and one more word."""
     with np.errstate(over="ignore"):
@@ -143,8 +121,7 @@ def chunked(docs: DataFrame, p: Settings) -> DataFrame:
     """Chunks of ``docs`` (id, held, text): chunk, ids, held, sizes (tokens of each text), words (hashes), at (token's word)."""
 
     def run(batches):
-        # a written chunk comes from one attempt of one task, so its number is good once the table is written
-        chunk, ids, held, texts, size = TaskContext.get().partitionId() << 33, [], [], [], 0
+        chunk, ids, held, texts, size = first_chunk(), [], [], [], 0
 
         def flush():
             tokens = np.concatenate(texts)
@@ -241,13 +218,6 @@ def each_chunk(chunks: DataFrame, order: int, f, schema) -> DataFrame:
     return map_arrow(chunks, run, schema)
 
 
-def by_shard(keys: np.ndarray, bits: int) -> list[tuple[int, slice]]:
-    """The parts of sorted keys that belong to each shard."""
-    shard = ((keys >> np.uint64(1)) >> np.uint64(63 - bits)).astype(np.int64)
-    edge = np.flatnonzero(np.diff(shard, prepend=-1, append=1 << 62))
-    return [(int(shard[a]), slice(a, b)) for a, b in pairwise(edge.tolist())]
-
-
 # Questions and answers
 
 QUESTION = "level int, shard int, chunk long, keys binary, x binary, y binary, z binary"
@@ -380,7 +350,7 @@ def apply(docs: DataFrame, p: Settings | None = None, model: Katz | None = None)
     if model:
         docs = docs.withColumn("held_out", F.lit(True))
     chunks = scratch.write(chunked(docs.select("doc_id", "held_out", "text"), p))
-    bits = model.bits if model else shard_bits(chunks, p)
+    bits = model.bits if model else shard_bits(chunks.count() * p.chunk, p.shard)
     questions = count_questions(chunks, p.order, bits)
     counts = ask(questions.unionByName(model.grams) if model else questions, count_shard, scratch)
     trained = model or fitted(counts, p, bits)
@@ -394,12 +364,6 @@ def apply(docs: DataFrame, p: Settings | None = None, model: Katz | None = None)
     return scored(informed(chunks, answers), p.order, numbers, docs.schema["doc_id"]), trained
 
 
-def shard_bits(chunks: DataFrame, p: Settings) -> int:
-    """Shards are 2 ** bits: as many as keep ``shard`` tokens to each."""
-    n = chunks.count() * p.chunk
-    return max(0, math.ceil(math.log2(max(n, 1) / p.shard)))
-
-
 def history_keys(chunks: DataFrame, n: int, order: int, bits: int) -> DataFrame:
     """Questions for histories that add nothing to their sums."""
 

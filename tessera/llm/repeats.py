@@ -4,15 +4,17 @@ A window is ``WINDOW`` consecutive words. Winnowing picks one anchor (a ``GRAM``
 each window by its words alone, so equal windows in different documents pick equal anchors. The windows of
 one document that pick the same anchor form a stretch; the stretch is the anchor extended both ways.
 
-1. Seeds: each stretch gives a row (anchor, hash of the stretch's words). Rows of a batch with equal keys
-   are merged before they are shuffled, so a passage in a third of all documents sends a row per batch.
-   A stretch that also occurs in a document with a smaller id is a repeat as a whole.
-2. Extension: where an anchor occurs in several different stretches, matches end inside a stretch. The first
-   document of each such stretch (and no copy of it) sends its single windows, keyed by a 128-bit hash, and
-   each is compared with the least document that has it.
-3. Matched windows of a document are gathered and merged into maximal repeats, which are cut.
-
-The tables shuffled are: about a fifth of a row for each word, the texts (zstandard), the matches.
+Documents are read into chunks (shards.py); every step is a question of chunks to shards of hashes:
+
+1. Seeds: a chunk tells its distinct (anchor, hash of the stretch's words) with the least document of each. The
+   answer says whether another chunk has a smaller document; then the stretch is a repeat as a whole.
+2. Extension: the answer also says whether the anchor occurs in several different stretches; then matches end inside
+   a stretch. The first document of each such stretch (and no copy of it) asks for its single windows by a
+   128-bit hash, again with the least document of each.
+3. Matched windows of a document are merged into maximal repeats, which are cut.
+
+A passage in a third of all documents is one entry for each chunk. The tables shuffled are the questions (about 17
+bytes for a fifth of all words, and for the windows asked), and twice the chunks (texts as zstandard).
 """
 
 from __future__ import annotations
@@ -21,16 +23,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, map_arrow, texts_as_bytes
+from .common import Scratch, map_arrow
+from .shards import by_shard, expand, expand_keys, first_chunk, shard_bits, squeeze, squeeze_keys
 
 WINDOW, GRAM = 13, 4
 SPAN = WINDOW - GRAM + 1
 M1, M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-MASK = (1 << 64) - 1
+#: Bytes of text in a chunk, bytes of text and windows for each shard.
+CHUNK, SHARD, SHARD_WINDOWS = 4 << 20, 32 << 20, 1 << 21
 
 
 class Powers:
@@ -91,150 +95,240 @@ def windows(words: np.ndarray, stretch: np.ndarray) -> tuple[np.ndarray, np.ndar
     return P1.hash(P1.prefix(words), start, WINDOW), P2.hash(P2.prefix(mix(words)), start, WINDOW), start
 
 
-def merged(x: np.ndarray, y: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch | None:
-    """One row for each key (x, y): its least document and place there, and all further ones as pairs of longs."""
-    if not len(x):
-        return None
-    order = np.lexsort((at, doc, y, x))
-    x, y, doc, at = x[order], y[order], doc[order], at[order]
+# Chunks
+
+
+def chunked(rows: DataFrame, size: int) -> DataFrame:
+    """Chunks of ``rows`` (row struct, id long, text): chunk, rows, ids, sizes (bytes, -1: null), texts."""
+    kind = rows.schema["row"].dataType
+
+    def run(batches):
+        chunk, parts, ids, texts, held = first_chunk(), [], [], [], 0
+
+        def flush():
+            values = pa.concat_arrays(parts)
+            sizes = np.array([-1 if t is None else len(t) for t in texts], np.int64)
+            payload = zstandard.ZstdCompressor(level=3).compress(b"".join(t or b"" for t in texts))
+            held_rows = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            columns = [pa.array([chunk]), held_rows, pa.array([ids], pa.list_(pa.int64())), pa.array([squeeze(sizes)], pa.binary()), pa.array([payload], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "rows", "ids", "sizes", "texts"])
+
+        for batch in batches:
+            begin = 0
+            for i, (doc, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True)):
+                ids.append(doc)
+                texts.append(text)
+                held += len(text or b"")
+                if held >= size or len(ids) >= 1 << 16:
+                    parts.append(batch.column(0).slice(begin, i + 1 - begin))
+                    yield flush()
+                    chunk, parts, ids, texts, held, begin = chunk + 1, [], [], [], 0, i + 1
+            if begin < batch.num_rows:
+                parts.append(batch.column(0).slice(begin))
+        if ids:
+            yield flush()
+
+    made = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("rows", T.ArrayType(kind)), *T.StructType.fromDDL("ids array<long>, sizes binary, texts binary").fields])
+    return rows.mapInArrow(run, made)
+
+
+def texts_of(sizes: bytes, payload: bytes) -> list[bytes]:
+    """The texts of a chunk; null as empty."""
+    data, out, at = zstandard.ZstdDecompressor().decompress(payload), [], 0
+    for n in np.maximum(expand(sizes, np.int64), 0).tolist():
+        out.append(data[at : at + n])
+        at += n
+    return out
+
+
+class Entries:
+    """Keys (x, y) of a chunk's places: ``row`` numbers the chunk's rows, ``at`` is a packed run of windows."""
+
+    def __init__(self, parts: list[tuple], ids: np.ndarray):
+        none = np.zeros(0, np.uint64)
+        x, y, self.row, self.at = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (none, none, none.astype(np.int64), none.astype(np.int64))
+        order = np.lexsort((y, x))
+        x, y, self.row, self.at = x[order], y[order], self.row[order], self.at[order]
+        first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, np.int64)
+        self.group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(x)]))
+        self.x, self.y, self.doc = x[first], y[first], ids[self.row]
+        self.least = np.minimum.reduceat(self.doc, first) if len(first) else self.doc
+
+    def questions(self, chunk: int, bits: int) -> list[dict]:
+        return [{"shard": s, "chunk": chunk, "x": squeeze_keys(self.x[i]), "y": squeeze(self.y[i]), "least": squeeze(self.least[i])} for s, i in by_shard(self.x, bits)]
+
+    def answered(self, answers: list[dict] | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each entry: whether a smaller document has its key, and whether its key's x occurs with other y."""
+        flags = np.zeros(len(self.x), np.uint8)
+        if answers:
+            of = {a["shard"]: a["flags"] for a in answers}
+            for s, i in by_shard(self.x, bits):
+                if s in of:
+                    flags[i] = expand(of[s], np.uint8)
+        flags = flags[self.group]
+        return (flags & 1 > 0) | (self.doc > self.least[self.group]), flags & 2 > 0
+
+
+QUESTION = "shard int, chunk long, x binary, y binary, least binary"
+QUESTION_ARROW = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("x", pa.binary()), ("y", pa.binary()), ("least", pa.binary())])
+ANSWER_ARROW = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("flags", pa.binary())])
+
+
+def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Flags for each question of a shard: 1, a smaller document has the key; 2, its x occurs with other y. All zero: no answer."""
+    x = [expand_keys(k) for k in table["x"].to_pylist()]
+    sizes = [len(k) for k in x]
+    x = np.concatenate(x)
+    y, least = (np.concatenate([expand(v, kind) for v in table[name].to_pylist()]) for name, kind in (("y", np.uint64), ("least", np.int64)))
+    order = np.lexsort((y, x))
+    x, y, doc = x[order], y[order], least[order]
     first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-    size = np.diff(np.r_[first, len(x)])
-    pairs = np.stack([doc, at], axis=1)
-    more: list[bytes | None] = [None] * len(first)
-    for i in np.flatnonzero(size > 1).tolist():
-        more[i] = pairs[first[i] + 1 : first[i] + size[i]].tobytes()
-    return pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)), pa.array(y[first].view(np.int64)), pa.array(doc[first]), pa.array(at[first]), pa.array(more, pa.binary())], names=["x", "y", "doc", "at", "more"])
+    group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(x)]))
+    anchor = x[first]
+    same = np.r_[False, anchor[1:] == anchor[:-1], False]
+    several = same[1:] | same[:-1]
+    flags = np.empty(len(x), np.uint8)
+    flags[order] = (doc > np.minimum.reduceat(doc, first)[group]) + 2 * several[group].astype(np.uint8)
+    rows, at = [], 0
+    for chunk, n in zip(table["chunk"].to_pylist(), sizes, strict=True):
+        if flags[at : at + n].any():
+            rows.append({"shard": key[0].as_py(), "chunk": chunk, "flags": squeeze(flags[at : at + n])})
+        at += n
+    return pa.Table.from_pylist(rows, ANSWER_ARROW)
+
+
+def asked(chunks: DataFrame, f) -> DataFrame:
+    """Questions ``f`` gives for each chunk row."""
 
+    def run(batch: pa.RecordBatch):
+        for row in batch.to_pylist():
+            questions = f(row)
+            if questions:
+                yield pa.RecordBatch.from_pylist(questions, QUESTION_ARROW)
 
-KEYED = "x long, y long, doc long, at long, more binary"
-SMALL = 1 << 18
+    return map_arrow(chunks, run, QUESTION)
 
 
-def keyed(rows) -> pa.RecordBatch:
-    """merged() of a list of (x, y, doc, at) arrays, in parts of bounded size."""
-    part, n = [], 0
-    for r in rows:
-        part.append(r)
-        n += len(r[0])
-        if n >= SMALL:
-            yield merged(*map(np.concatenate, zip(*part, strict=True)))
-            part, n = [], 0
-    if n:
-        yield merged(*map(np.concatenate, zip(*part, strict=True)))
+def informed(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """Chunks with the answers to their questions."""
+    answers = questions.groupBy("shard").applyInArrow(answer, "shard int, chunk long, flags binary")
+    of = answers.groupBy(F.col("chunk").alias("of")).agg(F.collect_list(F.struct("shard", "flags")).alias("answers"))
+    return chunks.join(of, F.col("chunk") == F.col("of"), "left").drop("of")
 
 
-def seeds(docs: DataFrame) -> DataFrame:
-    """Keyed rows of all stretches of ``docs`` (doc_id long, text)."""
+def ids_of(row: dict) -> np.ndarray:
+    return np.array([-1 if i is None else i for i in row["ids"]], np.int64)
 
-    def run(batch: pa.RecordBatch):
-        def each():
-            for doc, text in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)), strict=True):
-                if doc is not None and len(words := text.split()) >= WINDOW:
-                    x, y, first, count = stretches(word_hashes(words))
-                    yield x, y, np.full(len(x), doc, np.int64), first << 4 | count
 
-        yield from keyed(each())
+def stretch_entries(row: dict) -> Entries:
+    def each():
+        for r, (doc, text) in enumerate(zip(row["ids"], texts_of(row["sizes"], row["texts"]), strict=True)):
+            if doc is not None and len(words := text.split()) >= WINDOW:
+                x, y, first, count = stretches(word_hashes(words))
+                yield x, y, np.full(len(x), r, np.int64), first << 4 | count
 
-    return map_arrow(docs, run, KEYED)
+    return Entries(list(each()), ids_of(row))
 
 
-def flagged(rows: DataFrame, extend: Column | None = None) -> DataFrame:
-    """(doc, at, kind): kind 0 where the key occurs in a smaller document, 1 where it is the first and ``extend`` holds."""
-    both = Window.partitionBy("x", "y")
-    rows = rows.withColumn("least", F.min("doc").over(both))
-    rows = rows.withColumn("extend", extend if extend is not None else F.lit(False))
-    rows = rows.where("doc > least OR more IS NOT NULL OR extend").select("doc", "at", "more", "least", "extend")
+def window_entries(row: dict) -> Entries:
+    """The single windows of the stretches that ask for them."""
+    rows, runs, texts = expand(row["open_rows"], np.int64), expand(row["open_runs"], np.int64), texts_of(row["sizes"], row["texts"])
 
-    def run(batch: pa.RecordBatch):
-        doc, at, more, least, extend = batch.columns
-        docs, ats, leasts, extends = [doc.to_numpy()], [at.to_numpy()], [least.to_numpy()], [extend.to_numpy(zero_copy_only=False)]
-        for m, low, e in zip(more.to_pylist(), leasts[0].tolist(), extends[0].tolist(), strict=True):
-            if m is not None:
-                pairs = np.frombuffer(m, np.int64).reshape(-1, 2)
-                docs.append(pairs[:, 0])
-                ats.append(pairs[:, 1])
-                leasts.append(np.full(len(pairs), low))
-                extends.append(np.full(len(pairs), e))
-        doc, at, least, extend = map(np.concatenate, (docs, ats, leasts, extends))
-        use = (doc > least) | extend
-        return pa.RecordBatch.from_arrays([pa.array(doc[use]), pa.array(at[use]), pa.array((doc[use] == least[use]).astype(np.int32))], names=["doc", "at", "kind"])
+    def each():
+        edge = np.flatnonzero(np.diff(rows, prepend=-1, append=-1))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            x, y, start = windows(word_hashes(texts[rows[a]].split()), np.unique(runs[a:b]))
+            yield x, y, np.full(len(x), rows[a], np.int64), start << 4 | 1
 
-    return map_arrow(rows, run, "doc long, at long, kind int")
+    return Entries(list(each()) if len(rows) else [], ids_of(row))
 
 
-def packed(docs: DataFrame, text: str) -> DataFrame:
-    """The text column as zstandard bytes, null as null."""
-    others = [c for c in docs.columns if c != text]
-    part = docs.select(*others, F.col(text).alias("__z"))
+def stretched(chunks: DataFrame, bits: int) -> DataFrame:
+    """Chunks with the runs found to be repeats, and those to be asked for window by window (n_open windows)."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        zip_ = zstandard.ZstdCompressor(level=3)
-        z = [None if x is None else zip_.compress(x) for x in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(z, pa.binary())], names=[*others, "__z"])
+    def run(batch: pa.RecordBatch):
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            row = one.select([c for c in one.schema.names if c != "rows"]).to_pylist()[0]
+            e = stretch_entries(row)
+            repeat, several = e.answered(row["answers"], bits)
+            open_ = several & ~repeat
+            made = []
+            for use in (repeat, open_):
+                order = np.argsort(e.row[use], kind="stable")
+                made += [squeeze(e.row[use][order]), squeeze(e.at[use][order])]
+            columns = [pa.array([m], pa.binary()) for m in made] + [pa.array([int((e.at[open_] & 15).sum())], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*one.columns[:-1], *columns], names=[*one.schema.names[:-1], *names])
 
-    return map_arrow(part, run, T.StructType([*part.schema.fields[:-1], T.StructField("__z", T.BinaryType())]))
+    made = T.StructType.fromDDL("found_rows binary, found_runs binary, open_rows binary, open_runs binary, n_open long")
+    names = made.names
+    return map_arrow(chunks, run, T.StructType([*chunks.schema.fields[:-1], *made.fields]))
 
 
-def matches(docs: DataFrame) -> DataFrame:
-    """(doc, at): packed runs of windows, ``first << 4 | count``, that also start in a document with a smaller id.
+RESULT = "n_words long, n_removed long, kept string, rest string, spans array<struct<start: long, length: long>>"
 
-    ``docs``: doc_id long, text.
-    """
-    scratch = Scratch(docs.sparkSession, "repeats")
-    by_anchor = Window.partitionBy("x")
-    rows = seeds(docs).repartition("x")
-    found = scratch.write(flagged(rows, F.min("y").over(by_anchor) != F.max("y").over(by_anchor)))
 
-    open_ = found.where("kind = 1").groupBy("doc").agg(F.collect_list("at").alias("ats"))
-    texts = packed(docs.where("doc_id IS NOT NULL"), "text")
-    joined = texts.join(open_, texts["doc_id"] == open_["doc"]).select("doc", "ats", "__z")
+def cut_chunks(chunks: DataFrame, bits: int, prefix: str) -> DataFrame:
+    """One row for each row of the chunks: its columns and the results."""
+    kind = chunks.schema["rows"].dataType.elementType
+    fields = [T.StructField(prefix + f.name, f.dataType) for f in T.StructType.fromDDL(RESULT).fields]
 
     def run(batch: pa.RecordBatch):
-        def each():
-            unzip = zstandard.ZstdDecompressor()
-            for doc, ats, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = word_hashes(unzip.decompress(z).split()) if z else np.zeros(0, np.uint64)
-                x, y, start = windows(words, np.unique(np.array(ats, np.int64)))
-                yield x, y, np.full(len(x), doc, np.int64), start << 4 | 1
-
-        yield from keyed(each())
-
-    single = flagged(map_arrow(joined, run, KEYED).repartition("x"))
-    return found.where("kind = 0").select("doc", "at").union(single.where("kind = 0").select("doc", "at"))
-
-
-def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            held = one.column(one.schema.names.index("rows")).flatten()
+            row = one.select([c for c in one.schema.names if c != "rows"]).to_pylist()[0]
+            e = window_entries(row)
+            repeat, _ = e.answered(row["answers"], bits)
+            of: dict[int, list] = {}
+            for r, at in zip(np.r_[expand(row["found_rows"], np.int64), e.row[repeat]].tolist(), np.r_[expand(row["found_runs"], np.int64), e.at[repeat]].tolist(), strict=True):
+                of.setdefault(r, []).append(at)
+            cols = [list(c) for c in zip(*(cut(t, of.get(r, [])) for r, t in enumerate(texts_of(row["sizes"], row["texts"]))), strict=True)]
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))]
+            made = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
+            made[2:4] = [c.cast(pa.string()) for c in made[2:4]]
+            yield pa.RecordBatch.from_arrays([*held.flatten(), *made], names=[*kind.names, *(f.name for f in fields)])
+
+    return map_arrow(chunks, run, T.StructType([*kind.fields, *fields]))
+
+
+def ranked(docs: DataFrame, doc_id: str) -> tuple[DataFrame, Column]:
+    """``docs`` with a long that orders as the id does: the id itself if it is integral, else its place among the sorted distinct ids."""
+    if isinstance(docs.schema[doc_id].dataType, T.IntegralType):
+        return docs, F.col(doc_id).cast("long")
+    scratch = Scratch(docs.sparkSession, "ranks")
+    ids = scratch.write(docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__named")).distinct().orderBy("__named").withColumn("__place", F.monotonically_increasing_id()))
+    # places grow with the sorted partitions and within them; they need not be without gaps
+    return docs.join(ids, F.col(doc_id) == F.col("__named"), "left").drop("__named"), F.col("__place")
+
+
+def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, prefix: str = "", chunk: int = CHUNK, shard: int = SHARD) -> DataFrame:
     """Cut from each document the words in windows that also start in a document with a smaller id.
 
-    Returns ``keep`` columns (default: the id), n_words, n_removed, kept (the words left, joined by one
-    space), rest (the text with the repeats cut out, else unchanged) and spans (start word and length of
-    each maximal repeat). One row for each row of ``docs``. Windows are judged on the input.
+    Returns ``keep`` columns (default: the id; never the text), and under names that begin with ``prefix``: n_words,
+    n_removed, kept (the words left, joined by one space), rest (the text with the repeats cut out, else unchanged)
+    and spans (start word and length of each maximal repeat). One row for each row of ``docs``. Windows are judged
+    on the input.
 
-    Null text: no words, kept and rest empty. Rows with a null id are neither cut nor a reason to cut.
-    The id names a text: rows that repeat id and text are judged alike and not against each other.
-    Extra columns are carried only if in ``keep``. Empty table: no rows. Very long texts are read whole.
+    Ids may be of any type that has an order. Null text: no words, kept and rest empty. Rows with a null id are
+    neither cut nor a reason to cut. Rows with the same id, whether their texts are equal or not, are one document:
+    each is cut by what smaller ids hold, and not by the others. Extra columns are carried only if in ``keep``; a
+    ``prefix`` sets the results apart from columns of the same name. Empty table: no rows. Very long texts are
+    read whole; a chunk holds at least one text.
     """
     keep = keep or [doc_id]
-    carried = [c for c in keep if c != text]
-    found = matches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
-    found = found.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("at").alias("__at"))
-    rows = packed(docs.select(*(F.col(c) for c in carried), F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text")), "__text")
-    rows = rows.join(found, F.col("__id") == F.col("__doc"), "left").select(*carried, "__at", "__z")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        unzip = zstandard.ZstdDecompressor()
-        cols = [[] for _ in range(5)]
-        for ats, z in zip(batch.column(len(carried)).to_pylist(), batch.column(len(carried) + 1).to_pylist(), strict=True):
-            for c, v in zip(cols, cut(unzip.decompress(z) if z else b"", ats or []), strict=True):
-                c.append(v)
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))]
-        made = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
-        made[2:4] = [c.cast(pa.string()) for c in made[2:4]]
-        return pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *made], names=[*carried, "n_words", "n_removed", "kept", "rest", "spans"])
-
-    fields = rows.schema.fields[:-2]
-    made = T.StructType.fromDDL("n_words long, n_removed long, kept string, rest string, spans array<struct<start: long, length: long>>")
-    return map_arrow(rows, run, T.StructType([*fields, *made.fields]))
+    carried = [F.col(c) for c in keep if c != text] or [F.lit(0).alias("_")]
+    scratch = Scratch(docs.sparkSession, "repeats")
+    part, order = ranked(docs.select(*dict.fromkeys([*keep, doc_id, text])), doc_id)
+    chunks = scratch.write(chunked(part.select(F.struct(*carried).alias("row"), order.alias("id"), F.col(text).alias("text")), chunk))
+    bits = shard_bits(chunks.count() * chunk, shard)
+
+    asking = asked(chunks.drop("rows"), lambda row: stretch_entries(row).questions(row["chunk"], bits))
+    state = scratch.write(stretched(informed(chunks, asking), bits))
+    scratch.drop(chunks)
+    more = shard_bits(state.agg(F.sum("n_open")).first()[0] or 0, SHARD_WINDOWS)
+    asking = asked(state.drop("rows", "found_rows", "found_runs").where("n_open > 0"), lambda row: window_entries(row).questions(row["chunk"], more))
+    return cut_chunks(informed(state, asking), more, prefix)
 
 
 def cut(text: bytes, ats: list[int]) -> tuple[int, int, bytes, bytes, list[dict]]:

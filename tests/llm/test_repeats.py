@@ -26,8 +26,8 @@ def brute(texts, n=13):
     return out
 
 
-def check(spark, texts):
-    got = repeats.cut_repeats(docs(spark, texts)).collect()
+def check(spark, texts, **sizes):
+    got = repeats.cut_repeats(docs(spark, texts), **sizes).collect()
     want = brute(texts)
     assert len(got) == len(texts)
     for r in got:
@@ -50,6 +50,7 @@ def test_planted_passages(spark):
             w += p[a : len(p) - rng.randrange(3)]
         texts.append((rng.randrange(10_000) * 200 + i, " ".join(w)))
     check(spark, texts)
+    check(spark, texts, chunk=1000, shard=500)
 
 
 def test_periodic_and_equal_texts(spark):
@@ -69,6 +70,35 @@ def test_batches_of_one_text_give_the_same(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_an_id_with_two_texts_is_one_document(spark):
+    rng = random.Random(11)
+    passages = [" ".join(f"p{rng.randrange(40)}" for _ in range(30)) for _ in range(4)]
+    texts = [(i // 2, f"u{i} {passages[i % 4]} v{i} {passages[rng.randrange(4)]}") for i in range(30)]
+    got = sorted(tuple(r) for r in repeats.cut_repeats(docs(spark, texts)).select("doc_id", "kept").collect())
+    first = {}
+    for i, t in texts:
+        for k in range(len(words(t)) - 12):
+            key = tuple(words(t)[k : k + 13])
+            first[key] = min(first.get(key, i), i)
+    want = []
+    for i, t in texts:
+        w = words(t)
+        gone = {k + j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(13)}
+        want.append((i, " ".join(x for k, x in enumerate(w) if k not in gone)))
+    assert got == sorted(want)
+
+
+def test_ids_of_other_types(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    texts = {"b": f"one {passage} two", "a": f"{passage} three", "c": passage, None: passage}
+    rows = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id string, text string, kept string")
+    got = {r.doc_id: r for r in repeats.cut_repeats(rows, keep=["doc_id", "kept"], prefix="__r_").collect()}
+    assert {i: r["__r_kept"] for i, r in got.items()} == {"a": f"{passage} three", "b": "one two", "c": "", None: passage}
+    assert {r.kept for r in got.values()} == {"x"}
+    small = spark.createDataFrame([(2, passage), (1, passage)], "doc_id smallint, text string")
+    assert {r.doc_id: r.n_removed for r in repeats.cut_repeats(small).collect()} == {1: 0, 2: 20}
+
+
 def test_query_columns(spark, tmp_path):
     from tessera.llm.queries import op4_repeats
 
