@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,21 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Spark removes the shuffle files of a query when it has ended; else they stay until the driver collects garbage.
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def spent_shuffles_removed(spark: SparkSession):
+    """Within, shuffle files go with the write that needed them: a written table needs no lineage to be read again."""
+    before = spark.conf.get(CLEANUP_KEY, "false")
+    spark.conf.set(CLEANUP_KEY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP_KEY, before)
+
+
 class Scratch:
     """Tables written once to the shared folder and read back: cuts lineage and survives lost executors."""
 
@@ -48,7 +64,8 @@ class Scratch:
         """Write ``df`` as Parquet under this scratch folder; returns the table read back."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").partitionBy(*(partition_by or [])).parquet(path)
+        with spent_shuffles_removed(self.spark):
+            df.write.option("compression", "zstd").partitionBy(*(partition_by or [])).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -183,7 +183,7 @@ class Chunk:
                 self.put(self.counts, n, c)
                 self.put(self.own, n, np.unpackbits(np.frombuffer(a["y"], np.uint8), count=len(c)).astype(bool))
             else:
-                self.put(self.whole, -n, expand(a["x"], np.float64))
+                self.put(self.whole, -n, np.log10(expand(a["x"], np.int64)))
                 self.put(self.backoff, -n, expand(a["y"], np.float64))
         for of in (self.counts, self.own, self.whole, self.backoff):
             for n in of:
@@ -265,9 +265,8 @@ def history_shard(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     level, shard = (k.as_py() for k in key)
     sizes, place, distinct, (c, kept, p), _ = merged(table, [np.int64, np.float64, np.float64])
     seen = c > 0
-    whole = np.where(seen, np.where(kept < c * (1 - 1e-12), c, c + 1.0), 1.0)
-    backoff = np.where(seen, np.log10((1 - kept / whole) / (1 - p), where=seen, out=np.zeros(len(c))), 0.0)
-    whole = np.log10(whole)
+    whole = np.where(seen, c + (kept >= c * (1 - 1e-12)), 1)
+    backoff = np.log10((1 - kept / whole) / (1 - p), where=seen, out=np.zeros(len(c)))
     row = {"part": "table", "level": level, "shard": shard, "chunk": -1, "keys": squeeze_keys(distinct[seen]), "x": squeeze(c[seen]), "y": squeeze(kept[seen]), "z": squeeze(p[seen])}
     return answered(table, level, shard, sizes, [row], lambda s: squeeze(whole[place[s]]), lambda s: squeeze(backoff[place[s]]))
 
