@@ -57,18 +57,55 @@ def test_pieces_and_places(spark, path):
     assert len(bins) <= -(-sum(r.length for r in rows) // 1024) * 1.1 + 1
 
 
-def test_genetic_algorithm_improves_or_keeps():
-    rng = random.Random(1)
-    p = packing.Packing(births=30)
-    lengths = [rng.randrange(200, 500) for _ in range(150)]
-    bins, room = [], []
-    packing.best_fit(lengths, sorted(range(150), key=lambda i: -lengths[i]), bins, room, 1024)
+def triplets(n, seed):
+    """Lengths of which n bins can be filled without room, by threes."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        a = rng.randrange(390, 500)
+        b = rng.randrange(256, (1024 - a) // 2 + 1)
+        out += [a, b, 1024 - a - b]
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("n", [20, 40, 83])
+def test_genetic_algorithm_gains_on_best_fit(n):
+    """Against a known optimum: best fit is a sixth or more above it, the algorithm at most two bins."""
+    lengths, p = triplets(n, n), packing.Packing()
+    first, _ = packing.decreasing(lengths, 1024)
+    assert len(first) > 1.15 * n
+    elites = []
+    for epoch in range(p.epochs):
+        elites = [packing.evolve(lengths, elites, 10 * epoch + island, p)[0] for island in range(p.islands)]
+    made, room = packing.of_labels(lengths, min(elites, key=max), 1024)
+    assert min(room) >= 0 and sorted(i for b in made for i in b) == list(range(3 * n))
+    assert n <= len(made) <= n + 2
+
+
+def test_core_of_a_large_group():
+    """Births that work on a part keep all items and gain on best fit."""
+    lengths, p = triplets(400, 3) + [1000 + i % 20 for i in range(300)], packing.Packing(core=300)
+    first, _ = packing.decreasing(lengths, 1024)
     labels, _ = packing.evolve(lengths, [], 1, p)
-    made, left = packing.of_labels(lengths, labels, 1024)
-    assert min(left) >= 0 and sorted(i for b in made for i in b) == list(range(150))
-    assert packing.lower_bound(np.array(lengths), 1024) <= len(made) <= len(bins)
-    child, room = packing.cross(lengths, (made, left), packing.of_labels(lengths, labels, 1024), np.random.default_rng(0), p)
-    assert sorted(i for b in child for i in b) == list(range(150)) and min(room) >= 0
+    made, room = packing.of_labels(lengths, labels, 1024)
+    assert min(room) >= 0 and sorted(i for b in made for i in b) == list(range(len(lengths)))
+    assert 700 <= len(made) < len(first)
+
+
+def test_children_keep_all_items():
+    rng = random.Random(1)
+    lengths, p, draw = [rng.randrange(1, 700) for _ in range(150)], packing.Packing(), np.random.default_rng(0)
+    people = [packing.decreasing(lengths, 1024, draw) for _ in range(2)]
+    for child, room in (packing.cross(lengths, *people, draw, p), packing.mutate(lengths, people[0], draw, p)):
+        assert sorted(i for b in child for i in b) == list(range(150)) and min(room) >= 0
+        assert [1024 - sum(lengths[i] for i in b) for b in child] == room
+
+
+def test_extra_columns_with_names_of_ours(spark):
+    rows = spark.createDataFrame([(i, 300 + i, i, "a", -1) for i in range(9)], "doc_id long, length int, __row int, bin string, sequence_id int")
+    got = packing.pack(rows)
+    assert got.columns == ["doc_id", "length", "__row", "bin", "sequence_id", "offset"]
+    assert sorted((r.doc_id, r["__row"], r.bin) for r in got.collect()) == [(i, i, "a") for i in range(9)]
 
 
 def test_lower_bound():
