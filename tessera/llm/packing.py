@@ -39,8 +39,8 @@ class Packing:
     end: int = 2
     #: pieces of a group and, at most, of the part of it that births work on; pieces that an epoch's births may handle
     group: int = 8192
-    core: int = 1000
-    work: int = 30_000
+    core: int = 1500
+    work: int = 45_000
     islands: int = 2
     epochs: int = 2
     population: int = 8
