@@ -90,6 +90,14 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
+def apart(columns: list[str]) -> str:
+    """A prefix that no column's name begins with, for columns of our own beside any others."""
+    prefix = "__own_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def texts_as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a text column; null becomes empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

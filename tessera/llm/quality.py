@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from .common import map_arrow, texts_as_bytes
+from .common import apart, map_arrow, texts_as_bytes
 
 
 @dataclass(frozen=True)
@@ -119,15 +120,16 @@ def judge(text: bytes, bands: Bands, zip_: zstandard.ZstdCompressor) -> tuple[fl
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, n_chunks long, n_bad_chunks long, reason string"
 
 
-def compression_bands(docs: DataFrame, text: str = "text", keep: list[str] | None = None, bands: Bands | None = None) -> DataFrame:
+def compression_bands(docs: DataFrame, text: str = "text", keep: list[str] | None = None, bands: Bands | None = None, prefix: str = "") -> DataFrame:
     """Measures and a verdict for each row of ``docs``; one row out for each row in.
 
-    ``keep``: columns carried along (all others are dropped, so that extra columns cannot clash).
-    Null text: as empty (no words, so ``base_failed``). Repeated rows: each is judged alike.
-    Empty table: no rows. Very long texts are read whole.
+    ``keep``: columns carried along; all others are dropped. The results' names begin with ``prefix``, which sets
+    them apart from kept columns of the same name.
+    Null text: as empty (no words, so ``base_failed``). Repeated rows: each is judged alike. A ratio that equals
+    a limit is within it. Empty table: no rows. Very long texts are read whole.
     """
     keep, bands = keep or [], bands or Bands()
-    part = docs.select(*keep, docs[text].alias("__text"))
+    part = docs.select(*keep, docs[text].alias(f"{apart(docs.columns)}text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         zip_, cols = zstandard.ZstdCompressor(level=bands.level), [[] for _ in range(11)]
@@ -138,8 +140,8 @@ def compression_bands(docs: DataFrame, text: str = "text", keep: list[str] | Non
             for c, v in zip(cols, (*base, failed, not failed and why is None, ratio, chunks, bad, "base" if failed else why), strict=True):
                 c.append(v)
         types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64(), pa.int64(), pa.int64(), pa.string()]
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[*keep, *names])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in part.schema.fields[:-1])
-    return map_arrow(part, run, f"{kept}, {SCHEMA}" if kept else SCHEMA)
+    made = [T.StructField(prefix + f.name, f.dataType) for f in T.StructType.fromDDL(SCHEMA).fields]
+    names = [f.name for f in made]
+    return map_arrow(part, run, T.StructType([*part.schema.fields[:-1], *made]))
