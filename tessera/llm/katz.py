@@ -21,7 +21,8 @@ What a shard holds of an n-gram is one entry for each chunk, however often texts
 frequent words make no hot shard. Shards are as many as keep ``shard`` tokens to each; chunks and shards are bounded.
 
 Tables, in the shared folder as Parquet partitioned by ``part`` and ``level``, a row for each shard:
-  n-grams (level, shard, keys, c), histories (level, shard, keys, c, kept, p).
+  n-grams (level, shard, keys, x: counts), histories (level, shard, keys, x: counts, y: types of each small count that
+  follow, z: sums of lower probabilities).
 """
 
 from __future__ import annotations
@@ -189,6 +190,14 @@ class Chunk:
             for n in of:
                 of[n] = np.concatenate(of[n])
 
+    def history_questions(self, n: int, bits: int, c: np.ndarray, types: np.ndarray, p: np.ndarray) -> list[dict]:
+        """Questions of the histories of level ``n``, under the level ``-n``: sums to add, and whose backoff weight some token needs."""
+        keys = self.history_keys[n]
+        need = np.zeros(len(keys), np.uint8)
+        need[self.history_place[n][self.counts[n][self.place[n]] == 0]] = 1
+        row = {"level": -n, "chunk": self.row["chunk"]}
+        return [row | {"shard": s, "keys": squeeze_keys(keys[i]), "x": squeeze(c[i]), "y": squeeze(types[:, i].ravel()), "z": squeeze(p[i]), "need": squeeze(need[i])} for s, i in by_shard(keys, bits)]
+
     @staticmethod
     def put(of: dict, n: int, x: np.ndarray) -> None:
         of.setdefault(n, []).append(x)
@@ -220,25 +229,34 @@ def each_chunk(chunks: DataFrame, order: int, f, schema) -> DataFrame:
 
 # Questions and answers
 
-QUESTION = "level int, shard int, chunk long, keys binary, x binary, y binary, z binary"
+QUESTION = "level int, shard int, chunk long, keys binary, x binary, y binary, z binary, need binary"
 ANSWER = "part string, level int, shard int, chunk long, keys binary, x binary, y binary, z binary, types array<long>"
 ANSWER_ARROW = pa.schema([("part", pa.string()), ("level", pa.int32()), ("shard", pa.int32()), ("chunk", pa.int64()), *((k, pa.binary()) for k in ("keys", "x", "y", "z")), ("types", pa.list_(pa.int64()))])
 
 
-def merged(table: pa.Table, kinds: list) -> tuple[list, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """A shard's questions added up: lengths, each entry's key number, distinct keys, sums, and which entries come first."""
+def merged(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's questions together: lengths, each entry's key number, distinct keys, and which entries come first."""
     keys = [expand_keys(k) for k in table["keys"].to_pylist()]
-    sizes = [len(k) for k in keys]
     distinct, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    sums = []
-    for name, kind in zip("xyz", kinds, strict=False):
-        x = np.concatenate([expand(v, kind) for v in table[name].to_pylist()])
-        total = np.zeros(len(distinct), kind)
-        np.add.at(total, place, x)
-        sums.append(total)
     owns = np.zeros(len(place), bool)
     owns[first] = True
-    return sizes, place, distinct, sums, owns
+    return [len(k) for k in keys], place, distinct, owns
+
+
+def added(table: pa.Table, name: str, kind, place: np.ndarray, n: int) -> np.ndarray:
+    """Sums by key number of a column of the questions."""
+    total = np.zeros(n, kind)
+    np.add.at(total, place, np.concatenate([expand(v, kind) for v in table[name].to_pylist()]))
+    return total
+
+
+def added_types(table: pa.Table, place: np.ndarray, n: int) -> np.ndarray:
+    """Sums by key number of numbers of types: a row for each count up to MOST."""
+    parts = [expand(v, np.int32).reshape(MOST, -1) for v in table["y"].to_pylist()]
+    total = np.zeros((MOST, n), np.int32)
+    for r, x in enumerate(np.concatenate(parts, axis=1)):
+        np.add.at(total[r], place, x)
+    return total
 
 
 def answered(table: pa.Table, level: int, shard: int, sizes: list, rows: list[dict], x, y) -> pa.Table:
@@ -254,21 +272,30 @@ def answered(table: pa.Table, level: int, shard: int, sizes: list, rows: list[di
 
 def count_shard(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     level, shard = (k.as_py() for k in key)
-    sizes, place, distinct, (c,), owns = merged(table, [np.int64])
+    sizes, place, distinct, owns = merged(table)
+    c = added(table, "x", np.int64, place, len(distinct))
     seen = c > 0
     types = np.bincount(np.minimum(c[seen], MOST + 2), minlength=MOST + 3)[1 : MOST + 2].tolist()
     row = {"part": "table", "level": level, "shard": shard, "chunk": -1, "keys": squeeze_keys(distinct[seen]), "x": squeeze(c[seen]), "types": [*types, int(c.sum()), int(seen.sum())]}
     return answered(table, level, shard, sizes, [row], lambda s: squeeze(c[place[s]]), lambda s: np.packbits(owns[s]).tobytes())
 
 
-def history_shard(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    level, shard = (k.as_py() for k in key)
-    sizes, place, distinct, (c, kept, p), _ = merged(table, [np.int64, np.float64, np.float64])
-    seen = c > 0
-    whole = np.where(seen, c + (kept >= c * (1 - 1e-12)), 1)
-    backoff = np.log10((1 - kept / whole) / (1 - p), where=seen, out=np.zeros(len(c)))
-    row = {"part": "table", "level": level, "shard": shard, "chunk": -1, "keys": squeeze_keys(distinct[seen]), "x": squeeze(c[seen]), "y": squeeze(kept[seen]), "z": squeeze(p[seen])}
-    return answered(table, level, shard, sizes, [row], lambda s: squeeze(whole[place[s]]), lambda s: squeeze(backoff[place[s]]))
+def history_shards(m: Numbers):
+    """How a shard of histories answers: with c, or c + 1 where nothing is discounted, and backoff weights where needed."""
+
+    def shard_of(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        level, shard = (k.as_py() for k in key)
+        sizes, place, distinct, _ = merged(table)
+        c, types, p = added(table, "x", np.int64, place, len(distinct)), added_types(table, place, len(distinct)), added(table, "z", np.float64, place, len(distinct))
+        less = sum(r * (1 - m.discounts[-level].ratio[r]) * types[r - 1] for r in range(1, MOST + 1))
+        seen = c > 0
+        whole = np.where(seen, c + (less <= c * 1e-12), 1)
+        backoff = np.log10((1 - (c - less) / whole) / (1 - p), where=seen, out=np.zeros(len(c)))
+        need = np.concatenate([expand(v, np.uint8) if v else np.zeros(n, np.uint8) for v, n in zip(table["need"].to_pylist(), sizes, strict=True)]) > 0
+        row = {"part": "table", "level": level, "shard": shard, "chunk": -1, "keys": squeeze_keys(distinct[seen]), "x": squeeze(c[seen]), "y": squeeze(types[:, seen].ravel()), "z": squeeze(p[seen])}
+        return answered(table, level, shard, sizes, [row], lambda s: squeeze(whole[place[s]]), lambda s: squeeze(np.where(need[s], backoff[place[s]], 0.0)))
+
+    return shard_of
 
 
 def ask(questions: DataFrame, f, scratch: Scratch) -> DataFrame:
@@ -278,8 +305,13 @@ def ask(questions: DataFrame, f, scratch: Scratch) -> DataFrame:
 
 
 def known(rows: DataFrame) -> DataFrame:
-    """The table rows among a result of ask(), as questions of no chunk."""
-    return rows.where("part = 'table'").select(*(c.split()[0] for c in QUESTION.split(", ")))
+    """The table rows among a result of ask()."""
+    return rows.where("part = 'table'").select("level", "shard", "keys", "x", "y", "z")
+
+
+def told(tables: DataFrame) -> DataFrame:
+    """Table rows as questions of no chunk, which need no answer."""
+    return tables.selectExpr("level", "shard", "-1L AS chunk", "keys", "x", "y", "z", "CAST(NULL AS BINARY) AS need")
 
 
 def informed(chunks: DataFrame, answers: list[DataFrame]) -> DataFrame:
@@ -313,10 +345,12 @@ def history_questions(chunks: DataFrame, n: int, order: int, bits: int, m: Numbe
         use = first[chunk.own[n] & (chunk.counts[n] > 0)]
         keys, at = chunk.history_keys[n], chunk.history_place[n][use]
         c = chunk.counts[n][chunk.place[n][use]]
-        sums = [np.zeros(len(keys), np.int64), np.zeros(len(keys)), np.zeros(len(keys))]
-        for total, x in zip(sums, (c, m.discounts[n].of(c), 10.0 ** chunk.log_p(n - 1, use, m)), strict=True):
-            np.add.at(total, at, x)
-        return [{"level": -n, "shard": s, "chunk": chunk.row["chunk"], "keys": squeeze_keys(keys[i])} | {k: squeeze(t[i]) for k, t in zip("xyz", sums, strict=True)} for s, i in by_shard(keys, bits)]
+        total, types, p = np.zeros(len(keys), np.int64), np.zeros((MOST, len(keys)), np.int32), np.zeros(len(keys))
+        np.add.at(total, at, c)
+        np.add.at(p, at, 10.0 ** chunk.log_p(n - 1, use, m))
+        few = c <= MOST
+        np.add.at(types, (c[few] - 1, at[few]), 1)
+        return chunk.history_questions(n, bits, total, types, p)
 
     return each_chunk(chunks, order, f, QUESTION)
 
@@ -351,12 +385,12 @@ def apply(docs: DataFrame, p: Settings | None = None, model: Katz | None = None)
     chunks = scratch.write(chunked(docs.select("doc_id", "held_out", "text"), p))
     bits = model.bits if model else shard_bits(chunks.count() * p.chunk, p.shard)
     questions = count_questions(chunks, p.order, bits)
-    counts = ask(questions.unionByName(model.grams) if model else questions, count_shard, scratch)
+    counts = ask(questions.unionByName(told(model.grams)) if model else questions, count_shard, scratch)
     trained = model or fitted(counts, p, bits)
     numbers, answers = trained.numbers(), [counts]
     for n in range(2, p.order + 1):
-        questions = history_questions(informed(chunks, answers), n, p.order, bits, numbers) if not model else history_keys(chunks, n, p.order, bits)
-        found = ask(questions.unionByName(model.histories[n - 2]) if model else questions, history_shard, scratch)
+        questions = history_questions(informed(chunks, answers), n, p.order, bits, numbers) if not model else history_keys(informed(chunks, answers), n, p.order, bits)
+        found = ask(questions.unionByName(told(model.histories[n - 2])) if model else questions, history_shards(numbers), scratch)
         if not model:
             trained.histories.append(known(found))
         answers.append(found)
@@ -367,9 +401,8 @@ def history_keys(chunks: DataFrame, n: int, order: int, bits: int) -> DataFrame:
     """Questions for histories that add nothing to their sums."""
 
     def f(chunk: Chunk) -> list[dict]:
-        keys = chunk.history_keys[n]
-        none = lambda i: squeeze(np.zeros(len(keys[i]), np.int64))  # noqa: E731  a zero has the same bytes as a double
-        return [{"level": -n, "shard": s, "chunk": chunk.row["chunk"], "keys": squeeze_keys(keys[i]), "x": none(i), "y": none(i), "z": none(i)} for s, i in by_shard(keys, bits)]
+        size = len(chunk.history_keys[n])
+        return chunk.history_questions(n, bits, np.zeros(size, np.int64), np.zeros((MOST, size), np.int32), np.zeros(size))
 
     return each_chunk(chunks, order, f, QUESTION)
 
