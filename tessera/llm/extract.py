@@ -5,8 +5,10 @@
 2. For each tag path: root of the text length per node, and punctuation per character. Each node carries its path's
    two ratios; they are smoothed over neighbours in page order and fused by their product.
 3. Paths whose fused ratio reaches half of the text-weighted median path's are content paths. The content root is the
-   deepest element that holds all text on content paths. All blocks under it are the text: short paragraphs and
-   headings of an article stay, whatever their own ratio.
+   deepest element that holds all text on content paths. The text is all blocks under it, as short paragraphs and
+   headings of an article stay whatever their own ratio, but for blocks of links alone on paths that are not content
+   paths, and the headings right before it. Where the root is or lies in an article or main, that element is
+   taken whole and paths decide nothing within.
 
 Plan: one Arrow map over the pages, no shuffle.
 """
@@ -33,6 +35,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp noembed noframes plaintext iframe".split())
 LEFT_OUT = frozenset("head script style noscript template iframe object embed svg math canvas audio video map nav aside footer form button select textarea input label fieldset menu dialog title xmp noembed noframes plaintext".split())
 BLOCK = frozenset("html body address article blockquote center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption aside menu dialog".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT_BLOCKS = HEADINGS | frozenset("p blockquote q figcaption figure pre".split())
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption html body".split())
 SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("thead", "tbody", "tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th")}
 BARRIER = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",), "thead": ("table",), "tbody": ("table",)}
@@ -54,7 +58,7 @@ HINT = re.compile(r"[a-z]+|\d+")
 class Node:
     """An element: its name, parent, path key, whether it is left out, and the elements around it (itself included) whose names speak against them."""
 
-    __slots__ = ("name", "parent", "path", "depth", "out", "block", "weight", "around")
+    __slots__ = ("name", "parent", "path", "depth", "out", "block", "weight", "around", "link", "head")
 
     def __init__(self, name: str, parent: Node | None, mark: str, out: bool, around: bool = False):
         above = parent.around if parent else ()
@@ -63,25 +67,30 @@ class Node:
         self.path = f"{parent.path}/{name}{mark}" if parent else name
         self.depth = parent.depth + 1 if parent else 0
         self.block = self if name in BLOCK or parent is None else parent.block
+        self.link = name == "a" or bool(parent and parent.link)
+        self.head = name in HEADINGS or bool(parent and parent.head)
         self.weight = 0.0
 
 
-def surrounds(name: str) -> bool:
-    """Whether a class, id or role marks what surrounds an article: by the whole name, or its first or last part."""
+def surrounds(name: str, of_text: bool = False) -> bool:
+    """Whether a class, id or role marks what surrounds an article: by the whole name, or its first or last part.
+
+    Of a block of text the first part only qualifies the last: a banner-quote is a quote.
+    """
     parts = HINT.findall(name.replace("_", "-"))
     if not parts or parts[0] in WITH or parts[0] in OF_ARTICLE and parts[-1] == "header":
         return False
-    return name in AROUND or parts[0] in AROUND or parts[-1] in AROUND
+    return name in AROUND or parts[-1] in AROUND or not of_text and parts[0] in AROUND
 
 
-def marks(attributes: str) -> tuple[str, bool, bool]:
+def marks(attributes: str, of_text: bool = False) -> tuple[str, bool, bool]:
     """A short mark of class for the path, whether the element is hidden, and whether its names speak against it."""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return "", False, False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     out = bool(re.search(r"(?:^|\s)hidden(?:\s|$)", ATTRIBUTE.sub(" ", attributes))) or found.get("aria-hidden") == "true"
     out = out or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")))
-    around = any(surrounds(name) for key in ("class", "id", "role") for name in found.get(key, "").lower().split())
+    around = any(surrounds(name, of_text) for key in ("class", "id", "role") for name in found.get(key, "").lower().split())
     return f".{found['class'].split()[0]}" if found.get("class", "").strip() else "", out, around
 
 
@@ -137,7 +146,7 @@ def text_nodes(page: str) -> list[tuple[Node, Node, str]]:
             text("\n")
         if name in VOID:
             continue
-        mark, hidden, around = marks(m[3] or "")
+        mark, hidden, around = marks(m[3] or "", name in TEXT_BLOCKS)
         inside = any(x.name in ("article", "main") for x in stack)
         node = Node(name, stack[-1], mark, name in LEFT_OUT or hidden and name not in ("html", "body", "article", "main") or name == "header" and not inside, around and name not in ("html", "body", "article", "main"))
         if (m[3] or "").rstrip().endswith("/") and name not in BLOCK:
@@ -180,11 +189,11 @@ def smoothed(x: np.ndarray) -> np.ndarray:
     return full / np.convolve(np.pad(np.ones(len(x)), 2), kernel, "valid")
 
 
-def content_root(nodes: list[tuple[Node, int, str]], threshold: float = 0.5) -> Node | None:
-    """The deepest element that holds all text on content paths; None if there is no text."""
+def content_root(nodes: list[tuple[Node, int, str]], threshold: float = 0.5) -> tuple[Node | None, set[str]]:
+    """The deepest element that holds all text on content paths (None if there is no text), and the other paths."""
     length = np.array([len("".join(t.split())) for _, _, t in nodes], float)
     if not length.sum():
-        return None
+        return None, set()
     signs = np.array([len(PUNCTUATION.findall(t)) for _, _, t in nodes], float)
     paths: dict[str, list[int]] = defaultdict(list)
     for i, (n, _, _) in enumerate(nodes):
@@ -216,31 +225,41 @@ def content_root(nodes: list[tuple[Node, int, str]], threshold: float = 0.5) ->
     n = best
     while n:
         if n.name in ("article", "main"):
-            return n
+            return n, set()
         n = n.parent
-    return best
+    return best, {p for p, w in by_path.items() if w < least}
+
+
+def within(node: Node | None, root: Node) -> bool:
+    while node and node is not root:
+        node = node.parent
+    return node is root
 
 
 def main_text(page: str) -> str:
     """Article text: blocks in page order, one to a line, white space within a block as one space."""
     nodes = text_nodes(page)
-    root = content_root(nodes)
+    root, other = content_root(nodes)
     if root is None:
         return ""
-    blocks: list[str] = []
+    inside = [within(node, root) for node, _, _ in nodes]
+    first = inside.index(True)
+    while first and (nodes[first - 1][0].head or not nodes[first - 1][2].strip()):
+        first -= 1
+        inside[first] = True
+    #: text, and whether it is links alone on paths that are not content paths
+    blocks: list[list] = []
     last = None
-    for node, mark, raw in nodes:
-        n: Node | None = node
-        while n and n is not root:
-            n = n.parent
-        if n is None:
+    for (node, mark, raw), use in zip(nodes, inside, strict=True):
+        if not use:
             continue
         key = (mark, id(node.block))
         if key != last:
-            blocks.append("")
+            blocks.append(["", True])
             last = key
-        blocks[-1] += raw
-    lines = (" ".join(html.unescape(b).split()) for b in blocks)
+        blocks[-1][0] += raw
+        blocks[-1][1] &= node.link and node.path in other or not raw.strip()
+    lines = (" ".join(html.unescape(b).split()) for b, links in blocks if not links)
     return "\n".join(x for x in lines if x)
 
 

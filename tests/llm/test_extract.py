@@ -76,3 +76,46 @@ def test_post_header_keeps_the_headline():
 
 def test_deep_nesting():
     assert extract.main_text("<div class=widget>" + "<div>" * 3000 + "<p>Text, as told.") == "Text, as told."
+
+
+STORY = "The story, as told, number {}. It goes on, and on, as stories do."
+
+
+def story(n, start=0):
+    return "".join(f"<p>{STORY.format(i)}</p>" for i in range(start, start + n))
+
+
+def lines(n, start=0):
+    return [STORY.format(i) for i in range(start, start + n)]
+
+
+SIDE = "<div class=sidebar><ul><li><a href=x>Link one</a><li><a href=x>Link two</a></ul></div>"
+FOOT = "<footer><p>Copyright, Somebody. All rights reserved.</p></footer>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><div class='layout with-sidebar'>{story(5)}</div>{FOOT}</body>", lines(5)),
+        (f"<body><div id='social-history'>{story(5)}</div>{FOOT}</body>", lines(5)),
+        (f"<body><div class='article-header'><h1>The title</h1></div><div class=c>{story(5)}</div>{SIDE}</body>", ["The title", *lines(5)]),
+        (f"<body>{SIDE}<div class=a>{story(20)}</div><div class=b>{story(1, 20)}</div>{FOOT}</body>", lines(21)),
+        (f"<body>{SIDE}<article>{story(3)}</article><article>{story(3, 3)}</article>{FOOT}</body>", lines(6)),
+        (f"<body><main>{story(3)}<p class='banner-quote'>A quote, as said by someone.</p>{story(2, 3)}</main></body>", [*lines(3), "A quote, as said by someone.", *lines(2, 3)]),
+        (f"<body><main>{story(3)}<p class='ad'>Buy this, now.</p><p class=cookie-notice>We use cookies, as one does.</p></main></body>", lines(3)),
+        (f"<body><table><tr><td><a href=1>Home</a><br><a href=2>News</a></td><td><h1>Head</h1>{story(4)}</td></tr></table></body>", ["Head", *lines(4)]),
+        (f"<body><div id=top><a href=1>Home</a> <a href=2>About</a></div><div id=c><h1>Head</h1>{story(4)}<h2>Sub</h2><ul><li>Point one<li>Point <a href=x>two</a></ul></div></body>", ["Head", *lines(4), "Sub", "Point one", "Point two"]),
+        (f"<body><div><p><a href=x>{STORY.format(0)}</a></p>{story(3, 1)}</div></body>", lines(4)),
+    ],
+)
+def test_layouts(page, want):
+    assert extract.main_text(page).split("\n") == want
+
+
+@pytest.mark.parametrize("name", ["div", "section", "div class=content"])
+def test_ratios_find_the_article_of_the_fixture_without_its_name(name):
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
+        renamed = page.replace("<article>", f"<{name}>").replace("</article>", f"</{name.split()[0]}>")
+        assert extract.main_text(renamed) == extract.main_text(page)
