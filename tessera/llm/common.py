@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +53,15 @@ def spent_shuffles_removed(spark: SparkSession):
         spark.conf.set(CLEANUP_KEY, before)
 
 
+def _remove(jvm, conf, path: str) -> None:
+    """Delete a folder of a driver that ends; one whose JVM has gone leaves it."""
+    try:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    except (Py4JError, OSError):
+        pass
+
+
 class Scratch:
     """Tables written once to the shared folder and read back: cuts lineage and survives lost executors."""
 
@@ -59,6 +69,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        # results read these tables lazily, so they stay as long as the driver runs
+        atexit.register(_remove, spark._jvm, spark._jsc.hadoopConfiguration(), self.root)
 
     def write(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         """Write ``df`` as Parquet under this scratch folder; returns the table read back."""

@@ -319,20 +319,27 @@ def payload(data: bytes) -> tuple[bytes, int, int, np.ndarray]:
 def digests(media: DataFrame) -> DataFrame:
     """Read stored texts back: payload and media digests and a feature of the frames.
 
-    ``feature``: frames, milliseconds, and the grey levels of the colour histogram (4 steps).
+    ``feature``: frames, milliseconds, and the grey levels of the colour histogram (4 steps). A null or unreadable GIF
+    has null digests and the fault as ``error``. Equal GIFs, equal values; repeated rows give a row each. Media of
+    any length are read whole. Extra columns are dropped. Empty table: no rows.
     """
     part = media.select("doc_id", "n_bytes", "media")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols = [[] for _ in range(6)]
+        cols = [[] for _ in range(7)]
         for m in batch.column(2).to_pylist():
-            data, n, delay, seen = payload(m)
+            try:
+                data, n, delay, seen = payload(m or b"")
+            except GifError as e:
+                for c, v in zip(cols, (None, None, None, None, None, None, str(e)), strict=True):
+                    c.append(v)
+                continue
             feature = f"frames={n};ms={delay};grey={','.join(str(x) for x in seen[[0, 21, 42, 63]])}"
-            for c, v in zip(cols, (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature), strict=True):
+            for c, v in zip(cols, (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature, None), strict=True):
                 c.append(v)
-        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
         return pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n_bytes", *names])
 
-    made = T.StructType.fromDDL("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    made = T.StructType.fromDDL("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
     return map_arrow(part, run, T.StructType([*part.schema.fields[:2], *made.fields]))

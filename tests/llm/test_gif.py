@@ -103,3 +103,67 @@ def test_frames_table(spark):
     rows = sorted(gif.decode_frames(media).collect(), key=lambda r: (r.doc_id, r.frame))
     assert [(r.doc_id, r.frame, r.delay_ms, r.error is None) for r in rows] == [(1, 0, 70, True), (1, 1, 0, True), (2, 0, None, False), (3, 0, None, False)]
     assert sum(rows[0].histogram) == 4 and len(rows[0].pixels) == 16
+
+
+def plain_read(data):
+    """Another reader, bit by bit, for GIFs of whole frames and global grey palettes: samples and delays of the frames."""
+    at, out, delay = 13 + 3 * (2 << (data[10] & 7)), [], 0
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            if data[at + 1] == 0xF9:
+                delay = data[at + 4] | data[at + 5] << 8
+            at += 2
+            while data[at]:
+                at += 1 + data[at]
+            at += 1
+            continue
+        assert data[at] == 0x2C and not data[at + 9] & 0xC0
+        least, at, packed = data[at + 10], at + 11, b""
+        while data[at]:
+            packed += data[at + 1 : at + 1 + data[at]]
+            at += 1 + data[at]
+        at += 1
+        bits = "".join(f"{b:08b}"[::-1] for b in packed)
+        clear, end = 1 << least, (1 << least) + 1
+        width, place, table, last, samples = least + 1, 0, [], None, b""
+        while True:
+            code = int(bits[place : place + width][::-1], 2)
+            place += width
+            if code == end:
+                break
+            if code == clear:
+                table, width, last = [bytes([i]) for i in range(clear)] + [b"", b""], least + 1, None
+                continue
+            entry = table[code] if code < len(table) else last + last[:1]
+            if last is not None and len(table) < 4096:
+                table.append(last + entry[:1])
+            samples += entry
+            last = entry
+            if len(table) == 1 << width and width < 12:
+                width += 1
+        out.append((samples, delay))
+    return out
+
+
+def test_media_and_features_by_another_reader(spark):
+    texts = [(1, "plain text, " * 40), (2, ""), (3, "É日👍 " * 3000), (4, "z" * 30_000)]
+    stored = gif.store(docs(spark, texts))
+    media = {r.doc_id: bytes(r.media) for r in stored.collect()}
+    for r in gif.digests(stored).collect():
+        frames = plain_read(media[r.doc_id])
+        data = b"".join(s for s, _ in frames)
+        raw = dict(texts)[r.doc_id].encode()
+        assert data == raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        assert r.media_sha256 == hashlib.sha256(media[r.doc_id]).hexdigest() and r.media_bytes == len(media[r.doc_id])
+        screen, shown = b"", b""
+        for samples, _ in frames:
+            screen = samples + screen[len(samples) :]
+            shown += screen
+        grey = ",".join(str(sum(k <= b < k + 64 for b in shown)) for k in (0, 64, 128, 192))
+        assert r.feature == f"frames={len(frames)};ms={sum(10 * d for _, d in frames)};grey={grey}"
+
+
+def test_digests_of_null_and_broken_media(spark):
+    rows = spark.createDataFrame([(1, 5, None), (2, 5, b"broken"), (None, None, b"")], "doc_id long, n_bytes long, media binary")
+    got = gif.digests(rows).collect()
+    assert len(got) == 3 and all(r.error and r.payload_sha256 is None and r.feature is None for r in got)

@@ -1,4 +1,5 @@
 import base64
+import math
 import random
 import string
 from collections import Counter
@@ -74,3 +75,41 @@ def test_bad_regions_of_long_texts(spark):
     texts = [prose[:4096] + noise[:4095], prose[:40_000] + noise[:20_000], prose[:40_000] + noise[:8192], good]
     zip_ = zstandard.ZstdCompressor(level=quality.Bands().level)
     assert [quality.judge(t.encode(), quality.Bands(), zip_)[3] for t in texts] == ["chunks"] * 3 + [None]
+
+
+def plain_verdict(text, bands):
+    """The verdict worked out apart: limits by straight lines between the given points, every chunk in turn."""
+    data = text.encode()
+    ratio = lambda x: len(zstandard.ZstdCompressor(level=bands.level).compress(x)) / len(x)
+
+    def limit(n, which):
+        x, points = math.log2(n), bands.limits
+        if x <= points[0][0]:
+            return points[0][which]
+        for low, high in zip(points, points[1:], strict=False):
+            if x <= high[0]:
+                return low[which] + (high[which] - low[which]) * (x - low[0]) / (high[0] - low[0])
+        return points[-1][which]
+
+    chunks, at = [], 0
+    while at + bands.chunk <= len(data):
+        chunks.append(data[at : at + bands.chunk])
+        at += bands.chunk
+    if chunks and at < len(data):
+        chunks.append(data[-bands.chunk :])
+    bad = sum(not bands.chunk_least <= ratio(c) <= bands.chunk_most for c in chunks)
+    good = limit(len(data), 1) <= ratio(data) <= limit(len(data), 2)
+    return good and not (bad >= 2 or bad > len(chunks) / 20), len(chunks), bad
+
+
+def test_verdicts_against_a_plain_version(spark):
+    rng, bands = random.Random(7), quality.Bands()
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 0").orderBy("doc_id").collect()
+    texts = {r.doc_id: r.text for r in rows[:300]}
+    noise = base64.b64encode(rng.randbytes(9000)).decode()
+    texts |= {10_000 + i: rng.choice(rows).text[: rng.randrange(1, 9000)] + noise[: rng.randrange(6000)] for i in range(150)}
+    got = {r.doc_id: r for r in quality.compression_bands(docs(spark, texts), keep=["doc_id"]).collect()}
+    verdicts = {i: plain_verdict(t, bands) for i, t in texts.items()}
+    for i, (good, chunks, bad) in verdicts.items():
+        assert (got[i].kept, got[i].n_chunks, got[i].n_bad_chunks) == (good and not got[i].base_failed, chunks, bad), i
+    assert 50 < sum(not v[0] for v in verdicts.values()) < 400
