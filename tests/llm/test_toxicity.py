@@ -73,3 +73,34 @@ def test_too_few_labels():
     m = toxicity.train(["a b", "c d"], [0, 0], [None, None], SMALL)
     assert 0 < toxicity.Scorer(m).scores(["x"])[0] < 0.5
     assert toxicity.train([], [], [], SMALL).thresholds == {}
+
+
+def plain_logit(model, text):
+    """The network by loops: mean-scaled bucket embeddings, each filter at each place, the peak, rectified, weighted."""
+    s, found = model.s, []
+    for w in text.lower().split() or [""]:
+        buckets = toxicity.parts(w, s) if w else []
+        found.append(sum((model.emb[b] for b in buckets), np.zeros(s.size)) / np.sqrt(max(len(buckets), 1)))
+    logit, unit = model.shift, 0
+    for width in s.widths:
+        for f in range(s.filters):
+            responses = []
+            for at in range(len(found)):
+                total = model.bias[width][f]
+                for j in range(width):
+                    if at + j < len(found):
+                        total += float(found[at + j] @ model.conv[width][j][:, f])
+                responses.append(total)
+            logit += max(max(responses), 0) * model.out[unit]
+            unit += 1
+    return logit
+
+
+def test_forward_pass_against_plain_convolution():
+    rng = np.random.default_rng(3)
+    s = toxicity.Settings(buckets=512, step=7)
+    model = toxicity.Model(s, rng.normal(size=(s.buckets + 1, s.size)), {w: rng.normal(size=(w, s.size, s.filters)) for w in s.widths}, {w: rng.normal(size=s.filters) for w in s.widths}, rng.normal(size=len(s.widths) * s.filters), 0.3)
+    model.emb[s.buckets] = 0
+    texts = ["", "one", "two words", "Some, longer text! With (signs) and twenty or more words in it so that it is cut into several segments of seven words each.", "--- !!", "same " * 40]
+    got = toxicity.Scorer(model).logits(texts)
+    assert got.tolist() == pytest.approx([plain_logit(model, t) for t in texts], abs=1e-3)
