@@ -39,12 +39,14 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import Scratch, crc32_mod, map_arrow, texts_as_bytes
-from .shards import by_shard, expand, expand_keys, first_chunk, shard_bits, squeeze, squeeze_keys
+from .shards import by_shard, dealt, expand, expand_keys, first_chunk, shard_bits, squeeze, squeeze_keys
 
 #: Hashes set aside for the end of a text and for its begin mark.
 END, BEGIN = 0, 1
 #: Counts above this are not discounted.
 MOST = 5
+#: Chunks of one task where they meet their answers.
+CHUNKS = 2
 M1, M2, M3 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9
 
 
@@ -298,9 +300,9 @@ def history_shards(m: Numbers):
     return shard_of
 
 
-def ask(questions: DataFrame, f, scratch: Scratch) -> DataFrame:
+def ask(questions: DataFrame, f, scratch: Scratch, levels: int, bits: int) -> DataFrame:
     """The shards' tables and answers to the questions, written partitioned by part and level."""
-    groups: GroupedData = questions.groupBy("level", "shard")
+    groups: GroupedData = dealt(questions, levels << bits, "level", "shard").groupBy("level", "shard")
     return scratch.write(groups.applyInArrow(f, ANSWER), partition_by=["part", "level"])
 
 
@@ -314,14 +316,14 @@ def told(tables: DataFrame) -> DataFrame:
     return tables.selectExpr("level", "shard", "-1L AS chunk", "keys", "x", "y", "z", "CAST(NULL AS BINARY) AS need")
 
 
-def informed(chunks: DataFrame, answers: list[DataFrame]) -> DataFrame:
+def informed(chunks: DataFrame, answers: list[DataFrame], tasks: float) -> DataFrame:
     """Chunks with the answers they got."""
     rows = None
     for a in answers:
         part = a.where("part = 'answers'").select("chunk", F.struct("level", "shard", "x", "y").alias("a"))
         rows = part if rows is None else rows.union(part)
     of = rows.groupBy(F.col("chunk").alias("of")).agg(F.collect_list("a").alias("answers"))
-    return chunks.join(of, F.col("chunk") == F.col("of"), "left").drop("of")
+    return dealt(chunks, tasks, "chunk").join(of, F.col("chunk") == F.col("of"), "left").drop("of")
 
 
 def count_questions(chunks: DataFrame, order: int, bits: int) -> DataFrame:
@@ -383,18 +385,19 @@ def apply(docs: DataFrame, p: Settings | None = None, model: Katz | None = None)
     if model:
         docs = docs.withColumn("held_out", F.lit(True))
     chunks = scratch.write(chunked(docs.select("doc_id", "held_out", "text"), p))
-    bits = model.bits if model else shard_bits(chunks.count() * p.chunk, p.shard)
+    n_chunks = chunks.count()
+    bits, tasks = model.bits if model else shard_bits(n_chunks * p.chunk, p.shard), n_chunks / CHUNKS
     questions = count_questions(chunks, p.order, bits)
-    counts = ask(questions.unionByName(told(model.grams)) if model else questions, count_shard, scratch)
+    counts = ask(questions.unionByName(told(model.grams)) if model else questions, count_shard, scratch, p.order, bits)
     trained = model or fitted(counts, p, bits)
     numbers, answers = trained.numbers(), [counts]
     for n in range(2, p.order + 1):
-        questions = history_questions(informed(chunks, answers), n, p.order, bits, numbers) if not model else history_keys(informed(chunks, answers), n, p.order, bits)
-        found = ask(questions.unionByName(told(model.histories[n - 2])) if model else questions, history_shards(numbers), scratch)
+        questions = history_questions(informed(chunks, answers, tasks), n, p.order, bits, numbers) if not model else history_keys(informed(chunks, answers, tasks), n, p.order, bits)
+        found = ask(questions.unionByName(told(model.histories[n - 2])) if model else questions, history_shards(numbers), scratch, 1, bits)
         if not model:
             trained.histories.append(known(found))
         answers.append(found)
-    return scored(informed(chunks, answers), p.order, numbers, docs.schema["doc_id"]), trained
+    return scored(informed(chunks, answers, tasks), p.order, numbers, docs.schema["doc_id"]), trained
 
 
 def history_keys(chunks: DataFrame, n: int, order: int, bits: int) -> DataFrame:

@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, map_arrow
-from .shards import by_shard, expand, expand_keys, first_chunk, shard_bits, squeeze, squeeze_keys
+from .shards import by_shard, dealt, expand, expand_keys, first_chunk, shard_bits, squeeze, squeeze_keys
 
 WINDOW, GRAM = 13, 4
 SPAN = WINDOW - GRAM + 1
 M1, M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Bytes of text in a chunk, bytes of text and windows for each shard.
 CHUNK, SHARD, SHARD_WINDOWS = 4 << 20, 32 << 20, 1 << 21
+#: Chunks of one task where they meet their answers.
+CHUNKS = 2
 
 
 class Powers:
@@ -209,11 +211,11 @@ def asked(chunks: DataFrame, f) -> DataFrame:
     return map_arrow(chunks, run, QUESTION)
 
 
-def informed(chunks: DataFrame, questions: DataFrame) -> DataFrame:
+def informed(chunks: DataFrame, questions: DataFrame, bits: int, n_chunks: int) -> DataFrame:
     """Chunks with the answers to their questions."""
-    answers = questions.groupBy("shard").applyInArrow(answer, "shard int, chunk long, flags binary")
+    answers = dealt(questions, 1 << bits, "shard").groupBy("shard").applyInArrow(answer, "shard int, chunk long, flags binary")
     of = answers.groupBy(F.col("chunk").alias("of")).agg(F.collect_list(F.struct("shard", "flags")).alias("answers"))
-    return chunks.join(of, F.col("chunk") == F.col("of"), "left").drop("of")
+    return dealt(chunks, n_chunks / CHUNKS, "chunk").join(of, F.col("chunk") == F.col("of"), "left").drop("of")
 
 
 def ids_of(row: dict) -> np.ndarray:
@@ -321,14 +323,15 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
     scratch = Scratch(docs.sparkSession, "repeats")
     part, order = ranked(docs.select(*dict.fromkeys([*keep, doc_id, text])), doc_id)
     chunks = scratch.write(chunked(part.select(F.struct(*carried).alias("row"), order.alias("id"), F.col(text).alias("text")), chunk))
-    bits = shard_bits(chunks.count() * chunk, shard)
+    n_chunks = chunks.count()
+    bits = shard_bits(n_chunks * chunk, shard)
 
     asking = asked(chunks.drop("rows"), lambda row: stretch_entries(row).questions(row["chunk"], bits))
-    state = scratch.write(stretched(informed(chunks, asking), bits))
+    state = scratch.write(stretched(informed(chunks, asking, bits, n_chunks), bits))
     scratch.drop(chunks)
     more = shard_bits(state.agg(F.sum("n_open")).first()[0] or 0, SHARD_WINDOWS)
     asking = asked(state.drop("rows", "found_rows", "found_runs").where("n_open > 0"), lambda row: window_entries(row).questions(row["chunk"], more))
-    return cut_chunks(informed(state, asking), more, prefix)
+    return cut_chunks(informed(state, asking, more, n_chunks), more, prefix)
 
 
 def cut(text: bytes, ats: list[int]) -> tuple[int, int, bytes, bytes, list[dict]]:

@@ -17,6 +17,7 @@ from itertools import pairwise
 import numpy as np
 import zstandard
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -51,6 +52,15 @@ def shard_bits(size: float, shard: int) -> int:
     return max(0, math.ceil(math.log2(max(size, 1) / shard)))
 
 
+#: Tasks that questions and chunks are dealt to, at most.
+TASKS = 20_000
+
+
+def dealt(rows: DataFrame, size: float, *keys: str) -> DataFrame:
+    """``rows`` dealt by the keys to about ``size`` tasks: as the input grows, tasks grow in number and not in size."""
+    return rows.repartition(int(min(max(size, 1), TASKS)), *keys)
+
+
 def first_chunk() -> int:
     """The number of the first chunk of this task; a written chunk comes from one attempt, so numbers hold once written."""
     return TaskContext.get().partitionId() << 33
