@@ -63,15 +63,26 @@ def features(words: list[bytes], p: Mix) -> np.ndarray:
 
 @dataclass
 class Topics:
-    """Centres of the topics and the mean features of each language."""
+    """Centres of the topics and the mean features of each language, which are held by a hash of its name."""
 
     centres: np.ndarray
     means: dict[str, np.ndarray]
 
+    def less_mean(self, x: np.ndarray, langs: list[str]) -> np.ndarray:
+        none = np.zeros(x.shape[1])
+        return x - np.array([self.means.get(held(g), none) for g in langs]).reshape(x.shape)
+
     def of(self, x: np.ndarray, langs: list[str]) -> np.ndarray:
         """The nearest topic of each row of features, the least of equals."""
-        x = x - np.array([self.means.get(g, self.centres[0] * 0) for g in langs]).reshape(x.shape)
-        return (x @ self.centres.T).argmax(1) if len(x) else np.zeros(0, np.int64)
+        return (self.less_mean(x, langs) @ self.centres.T).argmax(1) if len(x) else np.zeros(0, np.int64)
+
+
+#: Hash values of languages: a bound on the vectors that come to the driver. Languages that share one share a mean.
+LANGUAGES = 4096
+
+
+def held(lang: str) -> str:
+    return str(xxhash.xxh64_intdigest(lang) % LANGUAGES)
 
 
 def described(docs: DataFrame, p: Mix) -> DataFrame:
@@ -124,19 +135,18 @@ def unit(x: np.ndarray) -> np.ndarray:
 def learn(rows: DataFrame, p: Mix) -> Topics:
     """Topics of all ``rows`` (lang, features); what comes to the driver is a vector for each language and topic.
 
-    Languages beyond the 1,000 with most rows share the mean of none; centres start as fixed random directions.
+    Centres start as fixed random directions.
     """
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()]
-    common = rows.where(F.col("lang").isin(langs)).select("lang", "features")
-    means = {k: np.round(x / max(n, 1), 6) for k, (x, n) in summed(common, lambda b: (matrix(b.column(1), p), b.column(0).to_pylist()), "lang", p).items()}
+    rows = rows.select("lang", "features")
+    means = {k: np.round(x / max(n, 1), 6) for k, (x, n) in summed(rows, lambda b: (matrix(b.column(1), p), [held(g) for g in b.column(0).to_pylist()]), "of", p).items()}
     model = Topics(unit(np.random.default_rng(p.seed).normal(size=(p.topics, p.buckets))), means)
     for _ in range(p.topic_rounds):
 
         def place(batch: pa.RecordBatch, model=model):
             x, langs = matrix(batch.column(1), p), batch.column(0).to_pylist()
-            return x - np.array([model.means.get(g, np.zeros(p.buckets)) for g in langs]).reshape(x.shape), model.of(x, langs)
+            return model.less_mean(x, langs), model.of(x, langs)
 
-        found = summed(rows.select("lang", "features"), place, "topic", p)
+        found = summed(rows, place, "topic", p)
         # rounded, as the order of sums is not the same in every run
         centres = np.round([found[str(k)][0] if str(k) in found else c for k, c in enumerate(model.centres)], 6)
         model = Topics(np.where((np.abs(centres).sum(1) > 1e-9)[:, None], unit(centres), model.centres), means)
