@@ -88,8 +88,17 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of rows that an Arrow batch is filled up to. Spark's own bound is 64 MB, which executor and Python worker hold several times over.
+BATCH_KEY, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "2m"
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
-    """Apply ``f`` to each Arrow batch; it returns one batch, several, or None."""
+    """Apply ``f`` to each Arrow batch; it returns one batch, several, or None.
+
+    The session's batches are of ``BATCH`` bytes from then on, unless it has a bound of its own; one row may be larger.
+    """
+    if df.sparkSession.conf.get(BATCH_KEY, None) is None:
+        df.sparkSession.conf.set(BATCH_KEY, BATCH)
 
     def run(batches):
         for batch in batches:
@@ -98,6 +107,9 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
                 yield out
             elif out is not None:
                 yield from out
+            del batch, out
+        # the worker stays for other tasks
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
