@@ -26,6 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (similarity 0.8 of five-word shingles): the one with the least id.
 
+    Near copies are found by the blocks of SimHash fingerprints, those many bits apart by minhashes; all are verified.
     Null and empty texts are copies of one another. Of rows that repeat an id one stays. Rows with a null id stay.
     """
     return nearcopies.one_per_group(docs)

@@ -1,9 +1,12 @@
-"""Near copies by exact shingle similarity.
+"""Near copies by SimHash and exact shingle similarity.
 
 Two texts are near copies if the Jaccard similarity of their sets of word shingles is at least ``similarity``.
-Texts with equal sets are merged first. Candidates share a band of minhashes: ``bands`` bands of ``rows``
-each, so a pair of similarity s is a candidate with probability 1 - (1 - s^rows)^bands, which is 0.99993 at
-0.8 with the defaults. Every candidate link is verified on the whole sets; none is taken on its sketch.
+Texts with equal sets are merged first. Each set has a SimHash fingerprint; those that agree on ``blocks - distance``
+of its ``blocks`` blocks and differ in at most ``distance`` bits are candidates. At similarity 0.8 fingerprints differ
+in some 10 of 64 bits, and blocks for that would be a few bits wide. So what lies further apart, or is left out
+in a large group of blocks, has candidates by minhash: ``bands`` bands of ``rows`` each, of which a pair of
+similarity s shares one with probability 1 - (1 - s^rows)^bands, which is 0.99993 at 0.8 with the defaults. Every
+candidate link of either kind is verified on the whole sets; none is taken on its sketch.
 
 Groups that share a band can be large, and are not expanded into pairs. Each member is compared with its group's
 hub, the member that shares its bands with most others, and components are formed. Let a be a member outside its hub
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, map_arrow, texts_as_bytes
 from .components import connected_components
+from .simhash import majority, sharing, within
 
 STEP = 1 << 10
 
@@ -38,6 +42,9 @@ STEP = 1 << 10
 class Near:
     shingle: int = 5
     similarity: float = 0.8
+    #: of fingerprints: bits that may differ, and blocks
+    distance: int = 5
+    blocks: int = 8
     bands: int = 24
     rows: int = 5
     seed: int = 42
@@ -73,18 +80,20 @@ def band_keys(found: np.ndarray, factors: np.ndarray, p: Near) -> list[int]:
 
 
 def sketches(docs: DataFrame, p: Near) -> DataFrame:
-    """(doc_id, node, bands) of each row; ``node`` stands for the set of shingles."""
+    """(doc_id, node, fp, bands) of each row; ``node`` stands for the set of shingles, ``fp`` is its fingerprint."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        factors, nodes, keys = p.factors(), [], []
+        factors, nodes, fps, keys = p.factors(), [], [], []
         for t in texts_as_bytes(batch.column(1)):
             found = shingles(t, p)
             nodes.append(set_key(found))
+            fps.append(majority(found))
             keys.extend(band_keys(found, factors, p))
         bands = pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, p.bands, dtype=np.int32), pa.array(np.array(keys, np.uint64).view(np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), bands], names=["doc_id", "node", "bands"])
+        made = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps))
+        return pa.RecordBatch.from_arrays([batch.column(0), *made, bands], names=["doc_id", "node", "fp", "bands"])
 
-    return map_arrow(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, bands array<long>")
+    return map_arrow(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, fp long, bands array<long>")
 
 
 def sets(docs: DataFrame, p: Near) -> DataFrame:
@@ -115,13 +124,16 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p:
     scratch = Scratch(spark, "nearcopies")
     part = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = scratch.write(sketches(part, p))
-    reps = scratch.write(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    reps = scratch.write(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    close = scratch.write(within(scratch.write(sharing(reps.select("node", "fp"), p.distance, p.blocks)), p.distance))
     keyed = reps.select("node", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("g"), "node")
     groups = scratch.write(keyed.join(keyed.groupBy("g").count().where("count > 1").select("g"), "g"))
-    wanted = reps.join(groups.select("node").distinct(), "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    nodes = groups.select("node").union(close.select("a")).union(close.select("b")).distinct()
+    wanted = reps.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
     known = scratch.write(sets(part.join(wanted, "doc_id", "left_semi"), p))
     members = scratch.write(with_hubs(groups))
-    links = scratch.write(verified(members.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), known, p))
+    pairs = close.union(members.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))).distinct()
+    links = scratch.write(verified(pairs, known, p))
     of = scratch.write(connected_components(spark, links))
     apart = scratch.write(differences(members, of, known))
     if not apart.isEmpty():

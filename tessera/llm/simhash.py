@@ -10,11 +10,13 @@ fingerprints is compared pairwise. In a larger one, each member emits the finger
 outside the shared blocks: two members within two bits meet at one of these, where at most
 ``1 + free bits`` members can be, and each is linked to the least. That finds the same components with a number
 of rows in proportion to the members, for groups of any size.
+
+``sharing`` and ``within`` take any distance, for callers that verify links on the texts (``nearcopies``).
 """
 
 from __future__ import annotations
 
-from itertools import combinations, repeat
+from itertools import combinations, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,11 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
         size = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(size + 1) - 1
         parts = [line[i:j] for i, j in zip((ends - size)[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), "<u8", len(parts))
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), "<u8", len(parts)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes (unsigned 64-bit, little-endian)."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), STEP):
         ones += np.unpackbits(hashes[i : i + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -64,12 +70,39 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def block_masks(distance: int, blocks: int) -> list[int]:
+    """Masks of each choice of ``blocks - distance`` blocks: fingerprints up to ``distance`` bits apart agree under one of them."""
+    parts = [(1 << j) - (1 << i) for i, j in pairwise(64 * i // blocks for i in range(blocks + 1))]
+    return [sum(chosen) for chosen in combinations(parts, blocks - distance)]
+
+
+def sharing(reps: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """(g, size, node, fp) of the fingerprints of ``reps`` (node, fp) that agree with another under a mask; ``g`` is their group."""
+    keys = F.explode(F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(block_masks(distance, blocks)))))
+    members = reps.select("node", "fp", keys.alias("g"))
+    return members.join(members.groupBy("g").agg(F.count("*").alias("size")).where("size > 1"), "g").select("g", "size", "node", "fp")
+
+
+def within(members: DataFrame, distance: int, pair_group: int = 8) -> DataFrame:
+    """Distinct pairs (a, b) of ``sharing`` that differ in at most ``distance`` bits.
+
+    In groups of up to ``pair_group`` all of them, in larger ones those with the member of the least fingerprint.
+    """
+    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= distance
+    small = members.where(F.col("size") <= pair_group)
+    x, y = small.select("g", F.col("node").alias("a"), F.col("fp").alias("fa")), small.select("g", F.col("node").alias("b"), F.col("fp").alias("fb"))
+    pairs = x.join(y, "g").where("a < b").where(near).select("a", "b")
+    large = members.where(F.col("size") > pair_group)
+    hubs = large.groupBy("g").agg(F.min(F.struct("fp", "node")).alias("hub")).select("g", F.col("hub.node").alias("b"), F.col("hub.fp").alias("fb"))
+    star = large.select("g", F.col("node").alias("a"), F.col("fp").alias("fa")).join(hubs, "g").where("a <> b").where(near)
+    return pairs.union(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+
+
 def links(reps: DataFrame, distance: int = 2, blocks: int = 4, pair_group: int = 8) -> DataFrame:
     """Links (a, b) between distinct fingerprints of ``reps`` (fp, rep) that span the same components as all links."""
     if distance != 2:
         raise ValueError("links() is built for a distance of two bits")
-    width = 64 // blocks
-    masks = [sum(((1 << width) - 1) << (i * width) for i in chosen) for chosen in combinations(range(blocks), blocks - distance)]
+    masks = block_masks(distance, blocks)
     keys = F.explode(F.array(*(F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(masks))))
     members = reps.select("fp", "rep", keys.alias("k")).select("fp", "rep", "k.choice", "k.key")
     groups = members.groupBy("choice", "key").agg(F.count("*").alias("size")).where("size > 1")

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
-from tessera.llm import nearcopies
+from tessera.llm import nearcopies, simhash
 
 from .helpers import AWKWARD, ascii_lower, docs, words
 from .test_simhash import components
@@ -115,3 +117,19 @@ def test_awkward_rows(spark):
     assert got.columns == docs(spark, []).columns
     assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == [0, 3, 4, 5, 7, 8]
     assert nearcopies.one_per_group(docs(spark, [])).count() == 0
+
+
+def test_simhash_finds_what_is_few_bits_apart(spark):
+    """By fingerprints of five-word shingles alone: the one band of 400 minhashes finds nothing but equal sets."""
+    rng = random.Random(9)
+    texts = {}
+    for i in range(0, 120, 2):
+        w = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        texts[i], texts[i + 1] = " ".join(w), " ".join([*w[: -rng.randrange(1, 20)], "end"])
+    sets = {i: shingles(t) for i, t in texts.items()}
+    fps = {i: simhash.majority(np.fromiter((xxhash.xxh64_intdigest(" ".join(s), 42) for s in x), np.uint64, len(x))) for i, x in sets.items()}
+    p = nearcopies.Near(bands=1, rows=400)
+    close = [(a, b) for a in texts for b in texts if a < b and (fps[a] ^ fps[b]).bit_count() <= p.distance and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(docs(spark, texts), p=p).collect()}
+    assert len(close) > 30
+    assert got == components(close, sorted(texts))

@@ -100,3 +100,22 @@ def test_one_per_group(spark):
     got = simhash.one_per_group(docs(spark, AWKWARD))
     assert got.columns == docs(spark, []).columns
     assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == [0, 3, 4, 5, 7, 8]
+
+
+@pytest.mark.parametrize(("distance", "blocks"), [(2, 4), (5, 8), (6, 9)])
+def test_all_pairs_within_any_distance(spark, distance, blocks):
+    rng = random.Random(distance)
+    fps = []
+    for _ in range(20):
+        f = rng.getrandbits(64)
+        for _ in range(6):
+            g = f
+            for b in rng.sample(range(64), rng.randrange(distance + 3)):
+                g ^= 1 << b
+            fps.append(g)
+    reps = spark.createDataFrame([(i, simhash.signed(f)) for i, f in enumerate(fps)], "node long, fp long")
+    want = {(a, b) for b in range(len(fps)) for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= distance}
+    members = simhash.sharing(reps, distance, blocks)
+    assert {(r.a, r.b) for r in simhash.within(members, distance, 1000).collect()} == want
+    few = {(r.a, r.b) for r in simhash.within(members, distance, 1).collect()}
+    assert few and few <= want
