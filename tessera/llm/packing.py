@@ -58,8 +58,8 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     def run(batch: pa.RecordBatch):
         ids, end = encoder(tokenizer), p.end.to_bytes(4, "little")
         rows, at = [[] for _ in range(4)], []
-        for row, t in enumerate(batch.column(1).to_pylist()):
-            data = ids(t or "") + end
+        for row, data in enumerate(ids.many(batch.column(1))):
+            data += end
             total, start = len(data) // 4, 0
             while start < total:
                 length = (total - start) % p.size or p.size

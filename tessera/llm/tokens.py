@@ -1,8 +1,9 @@
-"""Token ids of whole texts with a public tokenizer file, through a cache of its pre-tokens.
+"""Token ids of whole texts with a public tokenizer file, through the distinct words of a batch of them.
 
-A byte-level BPE never merges across pre-tokens, so the ids of a text are those of its pre-tokens in order.
-Texts of plain characters (below) are cut by a pattern that agrees with the tokenizer's own on them, and each
-distinct pre-token is encoded once per worker. Any other text is encoded whole by the ``tokenizers`` library.
+A byte-level BPE never merges across pre-tokens, and a space after anything but white space begins one. So the ids
+of a text are those of what its spaces part, each with the space before it, and a batch needs them for each distinct
+word only. Texts where a space follows white space, ends the text, or stands among other than plain characters
+(below) are encoded whole, those of other characters by the ``tokenizers`` library.
 
 Where the file's merges are in the order of their ids, a pre-token's ids follow from the ranks alone; then the
 ranks are read from the same file and ``tiktoken`` merges pre-tokens, which costs a third. The ids are equal.
@@ -13,17 +14,26 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: The public pre-token pattern for plain characters, where letters are A-Z, a-z and U+00C0-U+017F but for two signs.
+#: Plain characters, of which letters are A-Z, a-z and U+00C0-U+017F but for two signs; tables of characters agree on them.
 LETTER = "A-Za-zÀ-ÖØ-öø-ſ"
 PLAIN = re.compile(f"[\t\n\r -~{LETTER}]*")
-PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s{LETTER}0-9]+|\s+(?!\S)|\s+")
-CACHE = 200_000
+#: texts that are not what their spaces part
+WHOLE = rf"[\t\n\r ] | \z|[^\t\n\r -~{LETTER}]"
+#: the public pre-token pattern, and one without lookahead that agrees where no white space follows white space
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SINGLE = PATTERN.replace(r"\s+(?!\S)|\s+", r"\s")
+#: white space in a row, and from where on the library takes the text: looking ahead of a million is an error of the other
+ROW, LONG_ROW = re.compile(r"\s\s+"), 10_000
+#: first words to remember, their length at most; words to encode at once
+CACHE, LONGEST = 50_000, 64
+AT_ONCE = 50_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -33,10 +43,25 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def merger(path: str):
-    """A function from a pre-token to its ids by ranks, or None if the file's merges are not in id order."""
-    import tiktoken
+class Merger:
+    """Ids of plain text by ranks."""
 
+    def __init__(self, ranks: dict[bytes, int]):
+        import tiktoken
+
+        self.any, self.single = (tiktoken.Encoding("merger", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (PATTERN, SINGLE))
+        #: ids of tokens that begin with a space
+        self.spaced = np.zeros(len(ranks), bool)
+        self.spaced[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
+
+    def __call__(self, text: str) -> np.ndarray | None:
+        """None if the text has too much white space in a row."""
+        row = max((m.end() - m.start() for m in ROW.finditer(text)), default=0)
+        return np.array((self.any if row else self.single)(text), "<u4") if row < LONG_ROW else None
+
+
+def merger(path: str) -> Merger | None:
+    """Ids by ranks, or None if the file's merges are not in id order."""
     model = json.loads(open(path, encoding="utf-8").read())["model"]
     vocab, letters = model["vocab"], byte_letters()
     for i, m in enumerate(model["merges"]):
@@ -48,7 +73,7 @@ def merger(path: str):
         return None
     if sorted(ranks.values()) != list(range(len(ranks))):
         return None
-    return tiktoken.Encoding("merger", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return Merger(ranks)
 
 
 class Ids:
@@ -59,32 +84,78 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        #: ids of words that began a text
         self.cache: dict[str, bytes] = {}
         self.merge = merger(path)
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     def __call__(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit."""
-        if not PLAIN.fullmatch(text):
-            return self.whole([text])[0]
-        pieces = PIECES.findall(text)
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        try:
-            return b"".join(map(cache.__getitem__, pieces))
-        except KeyError:
-            pass
-        new = [p for p in dict.fromkeys(pieces) if p not in cache]
-        if self.merge:
-            for p in new:
-                ids = self.merge(p)
-                cache[p] = struct.pack(f"<{len(ids)}I", *ids)
-        else:
-            cache.update(zip(new, self.whole(new), strict=True))
-        return b"".join(map(cache.__getitem__, pieces))
+        return self.many(pa.array([text], pa.large_string()))[0]
+
+    def many(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text; those of null are none."""
+        texts = texts.fill_null("")
+        whole = pc.match_substring_regex(texts, WHOLE).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        for rows, encode in ((np.flatnonzero(whole), self.whole), (np.flatnonzero(~whole), self.by_words)):
+            if len(rows):
+                for row, ids in zip(rows.tolist(), encode(texts.take(pa.array(rows))), strict=True):
+                    out[row] = ids
+        return out
+
+    def library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def plain(self, text: str) -> np.ndarray:
+        ids = self.merge(text) if self.merge else None
+        return self.library(text) if ids is None else ids
+
+    def whole(self, texts: pa.Array) -> list[bytes]:
+        """Ids of any texts."""
+        return [(self.plain if PLAIN.fullmatch(t) else self.library)(t).tobytes() for t in texts.to_pylist()]
+
+    def first(self, word: str) -> bytes:
+        """Ids of a plain word that begins a text."""
+        ids = self.cache.get(word)
+        if ids is None:
+            ids = self.plain(word).tobytes()
+            if len(word) <= LONGEST:
+                if len(self.cache) >= CACHE:
+                    self.cache.clear()
+                self.cache[word] = ids
+        return ids
+
+    def after_space(self, words: pa.Array) -> pa.Array:
+        """Ids of plain words that have no space, each with a space before it."""
+        made = [pa.array([], pa.large_binary())]
+        for k in range(0, len(words), AT_ONCE):
+            part = words.slice(k, AT_ONCE)
+            if not self.merge:
+                made.append(pa.array([self.library(f" {w}").tobytes() for w in part.to_pylist()], pa.large_binary()))
+                continue
+            one = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)
+            ids = self.plain(" " + pc.binary_join(one, pa.scalar(" ", part.type))[0].as_py())
+            # the only space of a word's ids is at their beginning
+            ends = np.append(np.flatnonzero(self.merge.spaced[ids]), len(ids)).astype("<i8") * 4
+            if len(ends) != len(part) + 1:
+                raise ValueError("a word's ids do not begin with its space")
+            made.append(pa.Array.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(ids)]))
+        return pa.concat_arrays(made)
+
+    def by_words(self, texts: pa.Array) -> list[bytes]:
+        """Ids of texts that are what their spaces part."""
+        parted = pc.split_pattern(texts, " ")
+        n = pc.list_value_length(parted).to_numpy(zero_copy_only=False).astype(np.int64)
+        words, ends = parted.flatten(), np.cumsum(n)
+        firsts = words.take(pa.array(ends - n)).to_pylist()
+        later = np.ones(len(words), bool)
+        later[ends - n] = False
+        coded = words.filter(pa.array(later)).dictionary_encode()
+        ids = self.after_space(coded.dictionary).take(coded.indices)
+        _, offsets, data = ids.buffers()
+        at = np.frombuffer(offsets, "<i8")[np.append(0, np.cumsum(n - 1))].tolist() if len(ids) else [0] * (len(n) + 1)
+        view = memoryview(data or b"")
+        return [self.first(w) + view[i:j] for w, i, j in zip(firsts, at, at[1:], strict=False)]
 
 
 _encoders: dict[str, Ids] = {}

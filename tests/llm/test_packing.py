@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import packing
@@ -29,6 +30,55 @@ def test_ids_equal_the_library(path):
     assert [ids(t) for t in texts[:200]] == [whole(t) for t in texts[:200]]
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+@pytest.mark.parametrize("alphabet", ["ab \n's.9", "aé  \n\t\r'ßZ9_$ŉſ.,!sdtrevml", "aé  \n'ÿ×½日\x85\x1c👍"])
+def test_ids_of_a_batch_equal_the_library(path, alphabet, kind):
+    from tokenizers import Tokenizer
+
+    rng, ids, plain = random.Random(4), Ids(path), Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(1000)]
+    texts += [None, "", " ", "  ", "\n", " a", "a ", "a\n", " \n a", "a \n\nb c", "it's 's 'll", "<|endoftext|> a"]
+    want = [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    rows = pa.array([*texts, "cut off"], kind)
+    assert ids.many(rows.slice(0, len(texts))) == want
+    assert ids.many(rows.slice(500, 9)) == want[500:509]
+    assert ids.many(rows.slice(0, 0)) == []
+    ids.merge = None
+    ids.cache.clear()
+    assert ids.many(rows.slice(0, len(texts))) == want
+
+
+def test_words_of_a_batch_are_merged_once(path, monkeypatch):
+    """What is merged grows with the distinct words of a batch, not with its texts."""
+    ids, given = Ids(path), []
+    texts = [f"of {i % 5} " + " ".join(f"word{j}, and\nline{j}" for j in range(200)) for i in range(100)]
+    want, plain = [ids(t) for t in texts], ids.merge
+    monkeypatch.setattr(ids, "merge", Counted(plain, given))
+    assert ids.many(pa.array(texts)) == want
+    assert sum(map(len, given)) < 2 * len(texts[0])
+
+
+class Counted:
+    def __init__(self, merge, given):
+        self.merge, self.given, self.spaced = merge, given, merge.spaced
+
+    def __call__(self, text):
+        self.given.append(text)
+        return self.merge(text)
+
+
+@pytest.mark.parametrize("row", [" ", "\n", "\t "])
+def test_white_space_in_a_row_of_a_million(path, row):
+    """A pattern that looks ahead runs out of stack on it."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path)
+    texts = [f"a{row * 1_200_000}b c", "a b", row * 1_200_000]
+    got = Ids(path).many(pa.array(texts))
+    assert all(g == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for g, t in zip(got, texts, strict=True))
+
+
 def test_pieces_and_places(spark, path):
     rng = random.Random(9)
     texts = AWKWARD + [(100 + i, " ".join(f"word{rng.randrange(50)}" for _ in range(rng.randrange(900)))) for i in range(80)]
